@@ -107,7 +107,8 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, mask: np.nd
     h = _BYTE[body]
     h *= _PLACE[place & 4095]
     if place.max(initial=0) > 4095:
-        h *= mix((place >> 12).astype(np.uint64) + _U(1)) | _U(1)
+        far = np.flatnonzero(place > 4095)
+        h[far] *= mix((place[far] >> 12).astype(np.uint64)) | _U(1)
     return mix(np.add.reduceat(h, first) ^ (size.astype(np.uint64) * GRAM[0]))
 
 

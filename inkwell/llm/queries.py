@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import lines, pieces, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without its later repeated runs of lines."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids and whether decoding them gives its text again."""
+    return pieces.tokenised(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
+    "op9_pieces": op9_pieces,
     "op6_quality_rules": op6_quality_rules,
 }
 
