@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, pieces, quality
+from . import contamination, lines, near, pieces, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,32 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenised(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return contamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after all stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_decontamination": op2_decontamination,
+    "pipeline": pipeline,
     "op7_line_dedup": op7_line_dedup,
     "op9_pieces": op9_pieces,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": contamination.SQL,
+}
