@@ -38,9 +38,9 @@ CLASS[48:58] = 48
 CLASS[128:] = 1 + (np.arange(128, 256) * 37 >> 2) % 31
 
 
-def gram_codes(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+def gram_codes(data: np.ndarray, offs: np.ndarray, order: int, symbols: np.ndarray = CLASS) -> np.ndarray:
     """The n-gram ending at each byte, as a packed integer; rows start with padding."""
-    s = CLASS[data]
+    s = symbols[data]
     code = s.copy()
     start = np.repeat(offs[:-1], np.diff(offs))
     place = np.arange(len(s)) - start
@@ -49,13 +49,13 @@ def gram_codes(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
-def counted(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> DataFrame:
+def counted(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang", symbols: np.ndarray = CLASS) -> DataFrame:
     """(lang, code, n): n-gram counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
-        def fold(key, last: bool) -> None:
+        def fold(key) -> None:
             code = np.concatenate([c for c, _ in held[key]])
             n = np.concatenate([m for _, m in held[key]])
             u, inv = np.unique(code, return_inverse=True)
@@ -64,7 +64,7 @@ def counted(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str =
         for b in batches:
             langs = b.column(0).to_pylist()
             for i, j, data, offs in pieces(b.column(1)):
-                code = gram_codes(data, offs, order)
+                code = gram_codes(data, offs, order, symbols)
                 tags = langs[i:j]
                 size = np.diff(offs)
                 for key in set(tags):
@@ -75,9 +75,9 @@ def counted(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str =
                     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                     held.setdefault(key, []).append((part[cut], np.diff(np.r_[cut, len(part)])))
                     if len(held[key]) > 24:
-                        fold(key, False)
+                        fold(key)
         for key in held:
-            fold(key, True)
+            fold(key)
             code, n = held[key][0]
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
 
@@ -96,9 +96,12 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over packed symbols, one hash array per order."""
+    """Interpolated modified Kneser-Ney over packed symbols, one hash array per order.
 
-    def __init__(self, code: np.ndarray, n: np.ndarray, order: int = ORDER, bits: int = BITS):
+    With ``base``, a model of lower order, its orders are taken over from it.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, order: int = ORDER, bits: int = BITS, base: KneserNey | None = None):
         self.order, self.bits = order, bits
         tables = [(code, n)]
         for m in range(order - 1, 0, -1):  # continuation counts: distinct left neighbours
@@ -107,6 +110,11 @@ class KneserNey:
         self.grams, self.contexts = [], []
         below: tuple | None = None
         for m, (codes, c) in enumerate(tables, 1):
+            if base is not None and m <= base.order:
+                self.grams.append(base.grams[m - 1])
+                self.contexts.append(base.contexts[m - 1])
+                below = (codes, np.exp(base.logp(codes).astype(np.float64))) if m == base.order else None
+                continue
             d = _discounts(c)
             ctx, inv = np.unique(codes >> bits, return_inverse=True)
             total = np.bincount(inv, c, len(ctx))

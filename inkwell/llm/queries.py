@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lines, near, pieces, quality
+from . import contamination, language, lines, lm, near, pieces, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity score and verdict."""
+    return toxicity.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, as given and as found."""
+    return language.identified(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's mean stupid-backoff score."""
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents after all stages of the corpus pipeline."""
     import corpus_pipeline
@@ -46,6 +61,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
+    "op10_lm_score": op10_lm_score,
     "pipeline": pipeline,
     "op7_line_dedup": op7_line_dedup,
     "op9_pieces": op9_pieces,
@@ -54,4 +72,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": contamination.SQL,
+    "op10_lm_score": lm.SQL,
 }
