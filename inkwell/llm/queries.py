@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, language, lines, lm, near, pieces, quality, toxicity
+from . import contamination, language, lines, lm, near, pieces, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that the documents have more than once."""
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's mean stupid-backoff score."""
     return lm.scored(_table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_substrings": op5_substrings,
     "op10_lm_score": op10_lm_score,
     "pipeline": pipeline,
     "op7_line_dedup": op7_line_dedup,
