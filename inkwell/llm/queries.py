@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, language, lines, lm, near, pieces, quality, substrings, toxicity
+from . import contamination, language, lines, lm, near, pieces, pii, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal datum of every document."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's mean stupid-backoff score."""
     return lm.scored(_table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_substrings": op5_substrings,
+    "op8_personal_data": op8_personal_data,
     "op10_lm_score": op10_lm_score,
     "pipeline": pipeline,
     "op7_line_dedup": op7_line_dedup,
