@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WORD_PATTERN = "[0-9a-z\\x80-\\U0010ffff]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)

@@ -134,7 +134,7 @@ class Vocabulary:
                     key = before << 20 | i
                     fits = follows.get(key)
                     if fits is None:
-                        if len(follows) > 2_000_000:
+                        if len(follows) > 700_000:
                             follows.clear()
                         fits = follows[key] = self.compatible(before, i)
                     if not fits:
