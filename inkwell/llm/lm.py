@@ -24,7 +24,7 @@ from ._store import written
 
 ALPHA = 0.4
 #: Words packed at a time, and bytes of text for each partition of the tables.
-PACKED, PARTITION_BYTES = 4_000_000, 8 << 20
+PACKED, PARTITION_BYTES = 1_200_000, 8 << 20
 _U = np.uint64
 _PACK = "kind int, bucket long, chunk long, body binary"
 
