@@ -65,11 +65,14 @@ class Models:
 
 
 def _models(rows: DataFrame) -> Models:
-    held = counted(rows.select("text", F.col("label").cast("string").alias("lang")), ORDER, symbols=LETTERS).toPandas()
+    counts = counted(rows.select("text", F.col("label").cast("string").alias("lang")), ORDER, symbols=LETTERS)
     parts = []
-    for c in "01":
-        part = held[held["lang"] == c].sort_values("code")
-        parts.append((part["code"].to_numpy(np.int64), part["n"].to_numpy(np.int64)))
+    for c in "01":  # one class at a time, as integers: the driver holds no more than it needs
+        part = counts.where(F.col("lang") == c).select("code", "n").toArrow()
+        code, n = (part.column(k).to_numpy() for k in ("code", "n"))
+        order = np.argsort(code)
+        parts.append((code[order], n[order]))
+        del part, code, n
     return Models(parts)
 
 
@@ -82,7 +85,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     held = written(sampled(docs, labels, label, doc_id, text, most), "labelled")
     apart = F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(5)) == 0
     trial = _models(held.where(~apart))
-    test = held.where(apart).select("label", _score(held.sparkSession.sparkContext.broadcast(trial))(F.col("text")).alias("s")).where("s is not null").toPandas()
+    shared = held.sparkSession.sparkContext.broadcast(trial)
+    del trial
+    test = held.where(apart).select("label", _score(shared)(F.col("text")).alias("s")).where("s is not null").toPandas()
+    shared.destroy()
     out = _models(held)
     test = test.sort_values("s", ascending=False)
     y, s = test["label"].to_numpy(), test["s"].to_numpy()
