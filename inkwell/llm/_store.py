@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch: whole texts are wide, and the JVM and the worker each hold a batch or two.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES``, unless its configuration names a size."""
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset on a local master."""
     sc = spark.sparkContext

@@ -28,6 +28,8 @@ PRIOR_BYTES = 400
 STEP = 0.002
 #: Languages' models together; a corpus of this many distinct n-grams isn't text.
 MODEL_ROWS = 60_000_000
+#: Distinct n-grams of several pieces that a worker holds before it merges them, beside as many as are merged.
+UNMERGED = 500_000
 
 #: 128 symbol classes: ASCII as it is (digits alike, control characters as
 #: space), bytes of other characters folded into 31 classes; 0 is the padding.
@@ -74,7 +76,7 @@ def counted(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str =
                         continue
                     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                     held.setdefault(key, []).append((part[cut], np.diff(np.r_[cut, len(part)])))
-                    if len(held[key]) > 24:
+                    if sum(len(c) for c, _ in held[key][1:]) > max(UNMERGED, len(held[key][0][0])):
                         fold(key)
         for key in held:
             fold(key)
