@@ -8,6 +8,7 @@ bytes of a whole batch at once and keeps documents apart by their offsets.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives the system what earlier tasks of this worker have freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for internal use that no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

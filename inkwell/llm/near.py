@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._lex import GRAM, fresh, grams, mix, pieces, words
+from ._lex import GRAM, fresh, grams, mix, pieces, release, words
 from ._store import written
 
 K, L, SKETCHES, SIMILARITY = 3, 3, 24, 0.8
@@ -192,6 +192,7 @@ def _verify(similarity: float):
                     n = p.column(c).value_lengths().to_numpy(zero_copy_only=False)
                     both.append(np.split(flat, np.cumsum(n)[:-1]))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(alike(*both, similarity))], names=["a", "b", "alike"])
+        release()
 
     return run
 

@@ -18,9 +18,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._lex import release
+
 SPACE = "▁"
 #: Words of which a worker remembers the ids, and the longest of them.
-REMEMBERED, WORD = 300_000, 40
+REMEMBERED, WORD = 100_000, 40
+#: Pairs of tokens of which a worker remembers whether they fit, and rows coded at a time.
+PAIRS, ROWS = 300_000, 100
 
 
 def default_model() -> str:
@@ -134,7 +138,7 @@ class Vocabulary:
                     key = before << 20 | i
                     fits = follows.get(key)
                     if fits is None:
-                        if len(follows) > 700_000:
+                        if len(follows) > PAIRS:
                             follows.clear()
                         fits = follows[key] = self.compatible(before, i)
                     if not fits:
@@ -259,17 +263,18 @@ def tokenised(docs: DataFrame, text: str = "text", model: str | None = None, dec
     schema = T.StructType([*carried.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         v = vocabulary(model)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 500):
-                b = whole.slice(at, 500)
+            for at in range(0, max(1, whole.num_rows), ROWS):
+                b = whole.slice(at, ROWS)
                 texts = b.column(text).to_pylist()
                 packed = [None if t is None else v.encode(t) for t in texts]
                 size = np.array([len(p) // 4 if p is not None else 0 for p in packed], np.int64)
                 flat = np.frombuffer(b"".join(p for p in packed if p), np.int32)
                 offs = np.r_[0, np.cumsum(size)]
-                every, null = flat.tolist(), np.array([p is None for p in packed], bool)
-                back = [None if t is None else v.decode(every[offs[k] : offs[k + 1]]) for k, t in enumerate(texts)]
+                null = np.array([p is None for p in packed], bool)
+                back = [None if t is None else v.decode(flat[offs[k] : offs[k + 1]].tolist()) for k, t in enumerate(texts)]
                 ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32), mask=np.r_[null, False]) if len(null) else pa.array([0], pa.int32()), pa.array(flat))
                 cols = [pa.array(back, b.schema.field(text).type) if decoded and c == text else b.column(c) for c in b.schema.names]
                 cols += [ids, pa.array(size.astype(np.int32), mask=null), pa.array([None if t is None else t == u for t, u in zip(texts, back)], pa.bool_())]
