@@ -56,7 +56,7 @@ class Engine:
 
     def add(self, docs: DataFrame) -> int:
         """Upsert documents (path, text and maybe title, metadata); how many the index has then."""
-        self.index = self.index.upsert(docs).cached()
+        self.index = self.index.upsert(docs).settled()
         return self.index.documents.count()
 
     def _id(self, path: str) -> int:
@@ -87,7 +87,7 @@ class Engine:
         """Whether the path was there."""
         had = not self.index.documents.where(self.index.documents.path == path).isEmpty()
         if had:
-            self.index = self.index.delete(self.spark.createDataFrame([(path,)], "path string")).cached()
+            self.index = self.index.delete(self.spark.createDataFrame([(path,)], "path string")).settled()
         return had
 
     def results(self, query: str, max_results: int = 10, min_score: float = 0.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import Analyzer, token_rows, with_terms
+from ..lineage import settled
 
 
 def postings_of(tokens: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -70,6 +71,11 @@ class Index:
         kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (self.documents, self.postings)]
         return replace(self, documents=kept[0], postings=kept[1], terms=terms_of(kept[1]).persist(StorageLevel.MEMORY_AND_DISK))
 
+    def settled(self) -> Index:
+        """The same index, with its tables computed and their lineage cut."""
+        documents, postings = settled(self.documents), settled(self.postings)
+        return replace(self, documents=documents, postings=postings, terms=settled(terms_of(postings)))
+
     def close(self) -> None:
         for df in (self.documents, self.postings, self.terms):
             df.unpersist()
@@ -86,12 +92,12 @@ class Index:
         rows = _prepared(docs.drop("doc_id")).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
         known = rows.join(self.documents.select("path", "doc_id"), "path")
         fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self.next_doc_id)
-        rows = known.unionByName(fresh)
-        gone = self.documents.join(rows.select("path"), "path", "left_semi").select("doc_id")
+        rows = settled(known.unionByName(fresh))
+        gone = rows.select("doc_id")
         new = Index.build(rows, self.analyzer)
         documents = self.documents.join(gone, "doc_id", "left_anti").unionByName(new.documents)
         postings = self.postings.join(gone, "doc_id", "left_anti").unionByName(new.postings)
-        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=self.next_doc_id + fresh.count())
+        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=max(self.next_doc_id, (rows.agg(F.max("doc_id")).first()[0] or 0) + 1 if not rows.isEmpty() else 0))
 
     def add_tokens(self, docs: DataFrame) -> Index:
         """With documents given as ``path``, ``tokens``, ``doc_length`` and maybe ``positions`` (a list for each token), ``title``, ``metadata``.
