@@ -91,7 +91,7 @@ class Index:
         last = W.partitionBy("path").orderBy(F.col("text").desc_nulls_last())
         rows = _prepared(docs.drop("doc_id")).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
         known = rows.join(self.documents.select("path", "doc_id"), "path")
-        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self.next_doc_id)
+        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self._free())
         rows = settled(known.unionByName(fresh))
         gone = rows.select("doc_id")
         new = Index.build(rows, self.analyzer)
@@ -99,6 +99,11 @@ class Index:
         postings = self.postings.join(gone, "doc_id", "left_anti").unionByName(new.postings)
         return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=max(self.next_doc_id, (rows.agg(F.max("doc_id")).first()[0] or 0) + 1 if not rows.isEmpty() else 0))
 
+    def _free(self) -> int:
+        """The first id above all that were given, by the index or by its source."""
+        top = self.documents.agg(F.max("doc_id")).first()[0]
+        return max(self.next_doc_id, 0 if top is None else top + 1)
+
     def add_tokens(self, docs: DataFrame) -> Index:
         """With documents given as ``path``, ``tokens``, ``doc_length`` and maybe ``positions`` (a list for each token), ``title``, ``metadata``.
 
@@ -113,7 +118,7 @@ class Index:
             F.lit(None).cast("string").alias("first_line"),
         )
         known = rows.join(self.documents.select("path", "doc_id"), "path")
-        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self.next_doc_id)
+        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self._free())
         rows = known.unionByName(fresh)
         gone = rows.select("doc_id")
         each = rows.select("doc_id", "given", F.posexplode("tokens").alias("pos", "term"))
@@ -121,7 +126,7 @@ class Index:
         made = each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_freq"), F.flatten(F.collect_list(at)).alias("positions"))
         documents = self.documents.join(gone, "doc_id", "left_anti").unionByName(rows.select(*self.documents.columns))
         postings = self.postings.join(gone, "doc_id", "left_anti").unionByName(made.withColumn("positions", F.array_sort("positions")))
-        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=self.next_doc_id + fresh.count())
+        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=self._free() + fresh.count())
 
     def delete(self, paths: DataFrame) -> Index:
         """Without the documents of these paths; terms that no document has any more go too."""
