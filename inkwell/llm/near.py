@@ -3,10 +3,10 @@
 A sketch is the ``L`` smallest of the document's ``K``-word k-mers, each
 labelled with its occurrence, under one hash function, kept in text order; so
 equal sketches speak for a small edit distance and not only for a common
-vocabulary.  Documents with the same words are one node.  Nodes that share one
-of ``SKETCHES`` sketches are joined in stars around the first of each bucket;
-members that don't align with it are then paired with each other.  A pair counts
-if the word edit distance, by an alignment in a widening band, is within
+vocabulary.  Documents with the same words are one node.  Nodes that
+share a sketch are joined in stars around the first of each bucket, then around
+the member that has aligned most often; then every pair of a bucket that is
+neither verified nor in one group is verified, with no limit.  A pair counts if the word edit distance, by an alignment in a widening band, is within
 ``1 - SIMILARITY`` of the longer document.  Groups are the components.
 """
 
@@ -217,17 +217,23 @@ def near_groups(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "
         return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
     pairs = member.where((F.col("node") != F.col("hub")) & near("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    star = _verified(pairs, tokens, similarity)
-    label = components(star.where("alike").select("a", "b"))
-    # what a bucket has beside its hub's component: one member of each component, paired with all others
-    named = member.join(label, "node", "left").select("bucket", "node", "n", "hub", F.coalesce("label", "node").alias("label"))
-    home = label.select(F.col("node").alias("hub"), F.col("label").alias("home"))
-    apart = named.join(home, "hub", "left").where(F.col("label") != F.coalesce("home", "hub")).groupBy("bucket", "label").agg(F.min_by(F.struct("node", "n"), "node").alias("m"))
-    left = apart.select("bucket", "m.node", "m.n")
-    x, y = left.toDF("bucket", "a", "an"), left.toDF("bucket", "b", "bn")
-    rest = x.join(y, "bucket").where((F.col("a") > F.col("b")) & near("an", "bn")).select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(rest, tokens, similarity)
-    edges = star.unionByName(more).where("alike").select("a", "b")
+    checked = _verified(pairs, tokens, similarity)
+    for around_hubs in (True, False):
+        aligned = checked.where("alike").select("a", "b")
+        label = components(aligned)
+        named = member.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+        left = written(named.join(mixed, "bucket"), "mixed")
+        x, y = left.toDF("bucket", "a", "an", "al"), left.toDF("bucket", "b", "bn", "bl")
+        if around_hubs:
+            degree = aligned.select("a").unionByName(aligned.select(F.col("b").alias("a"))).groupBy("a").count()
+            x = x.join(degree, "a", "left").groupBy("bucket").agg(F.max_by(F.struct("a", "an", "al"), F.struct(F.coalesce("count", F.lit(0)), -F.col("a"))).alias("hub")).select("bucket", "hub.*")
+        unlike = x.join(y, "bucket").where((F.col("al") != F.col("bl")) & near("an", "bn"))
+        if not around_hubs:
+            unlike = unlike.where("a > b")
+        rest = unlike.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        checked = checked.unionByName(_verified(rest, tokens, similarity))
+    edges = checked.where("alike").select("a", "b")
     label = components(edges)
     grouped = nodes.select("one", "two", "node").join(label, "node", "left").select("one", "two", F.coalesce("label", "node").alias("label"))
     return read.select("row", "doc", "one", "two").join(grouped, ["one", "two"]).select("row", "doc", "label")

@@ -63,6 +63,26 @@ def test_near_duplicates(spark):
     assert sum(x["kept"] for x in found) == len(set(group.values()))
 
 
+def test_every_pair_of_a_bucket(spark, monkeypatch):
+    """With one sketch for all, the groups are those of brute force."""
+    read = near._read
+    monkeypatch.setattr(near, "_read", lambda *a: read(*a).withColumn("sketches", near.F.array(near.F.lit(7).cast("long"))))
+    r = random.Random(12)
+    rows = []
+    for k in range(12):
+        base = prose(r, 20, 5000).split()
+        rows.append(base)
+        rows += [[f"e{r.randrange(10**6)}" if i in edit else x for i, x in enumerate(base)] for edit in (r.sample(range(20), 4) for _ in range(4))]
+    r.shuffle(rows)
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if distance(rows[i], rows[j]) <= 4:
+            old, new = sorted((label[i], label[j]))[::-1]
+            label = [new if x == old else x for x in label]
+    found = near.near_duplicates(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], SCHEMA)).collect()
+    assert {x["doc_id"]: x["group_doc_id"] for x in found} == dict(enumerate(label))
+
+
 def test_banded_alignment():
     r = random.Random(2)
     a = [np.array([r.randrange(4) for _ in range(r.randint(0, 40))]) for _ in range(200)]
