@@ -3,7 +3,9 @@
 A sketch is the ``L`` smallest of the document's ``K``-word k-mers, each
 labelled with its occurrence, under one hash function, kept in text order; so
 equal sketches speak for a small edit distance and not only for a common
-vocabulary.  Documents with the same words are one node.  Nodes that
+vocabulary.  Texts of at most ``SHORT`` words have ``SHORT_SKETCHES`` of single
+words, as few of their k-mers survive edits; those that a longer text can be
+alike to have both.  Documents with the same words are one node.  Nodes that
 share a sketch are joined in stars around the first of each bucket, then around
 the member that has aligned most often; then every pair of a bucket that is
 neither verified nor in one group is verified, with no limit.  A pair counts if the word edit distance, by an alignment in a widening band, is within
@@ -23,7 +25,8 @@ from ._components import components
 from ._lex import GRAM, fresh, grams, mix, pieces, release, words
 from ._store import written
 
-K, L, SKETCHES, SIMILARITY = 3, 3, 24, 0.8
+K, L, SKETCHES, SIMILARITY = 2, 3, 32, 0.8
+SHORT, SHORT_SKETCHES = 50, 24
 _U = np.uint64
 _MAX = _U(2**64 - 1)
 
@@ -69,7 +72,19 @@ def sketches(h: np.ndarray, row: np.ndarray, k: int = K, least: int = L, n: int
     return at[cut], out
 
 
-def _read(docs: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
+def _sketched(h: np.ndarray, at: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches in the order of rows, how many each row has) of word hashes; ``n``: words of each row."""
+    owner, every = [], []
+    for part, k, count in ((n <= SHORT, 1, SHORT_SKETCHES), (n >= SHORT * similarity, K, SKETCHES)):
+        mine = part[at]
+        rows, sk = sketches(h[mine], at[mine], k, n=count)
+        owner.append(np.repeat(rows, count))
+        every.append(sk.ravel())
+    owner = np.concatenate(owner)
+    return np.concatenate(every)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(n))
+
+
+def _read(docs: DataFrame, row: str, doc_id: str, text: str, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in pieces(b.column(2)):
@@ -86,10 +101,8 @@ def _read(docs: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
                     raw = data[offs[r] : offs[r + 1]].astype(np.uint64)
                     place = mix(np.arange(len(raw), dtype=np.uint64))
                     one[r], two[r] = (mix(np.array([np.add.reduce(mix(raw + place * GRAM[q]))]))[0] for q in (52, 53))
-                rows, sk = sketches(h, at)
-                m = np.zeros(j - i, np.int64)
-                m[rows] = sk.shape[1]
-                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype(np.int32)), pa.array(sk.ravel().view(np.int64)))
+                sk, m = _sketched(h, at, n, similarity)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)].astype(np.int32)), pa.array(sk.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n), listed], names=["row", "doc", "one", "two", "n", "sketches"])
 
     return docs.select(row, F.col(doc_id).cast("long"), text).mapInArrow(run, "row long, doc long, one long, two long, n long, sketches array<long>")
@@ -205,7 +218,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFra
 
 def near_groups(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, doc, label): the group of every row of ``docs``, whose column ``row`` numbers the rows."""
-    read = written(_read(docs, row, doc_id, text), "sketches")
+    read = written(_read(docs, row, doc_id, text, similarity), "sketches")
     nodes = written(read.groupBy("one", "two").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
     member = nodes.select("node", "n", F.explode("sketches").alias("bucket"))
     full = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), "node").alias("hub")).where("c > 1").drop("c")
@@ -249,8 +262,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A group is named by its least ``doc_id`` (nulls last); that row is the one
     kept, of repeated rows the first read.  Rows with the same words in order
     are alike, whatever their case and punctuation.  Documents without words
-    are alike if their texts are equal, a null text being an empty one; those of
-    under ``K`` words only if their words are the same.  An empty table gives an
+    are alike if their texts are equal, a null text being an empty one; at
+    ``SIMILARITY`` those of under 5 words only if their words are the same.  An empty table gives an
     empty result.
     """
     (row,) = fresh(docs, "row")

@@ -63,6 +63,22 @@ def test_near_duplicates(spark):
     assert sum(x["kept"] for x in found) == len(set(group.values()))
 
 
+def test_near_duplicates_around_an_original(spark):
+    """Copies that are like their original and hardly like each other."""
+    r = random.Random(11)
+    rows = []
+    for share, copies in ((0.12, 150), (0.15, 150)):
+        base = prose(r, 60, 5000).split()
+        group = [[f"e{r.randrange(10**6)}" if r.random() < share else x for x in base] for _ in range(copies)]
+        group.insert(copies // 2, base)
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(group)]
+    found = {x["doc_id"]: x["group_doc_id"] for x in near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for first in (0, 151):
+        base = rows[first + 75]
+        like = [k for k, t in rows[first : first + 151] if distance(split(t), split(base[1])) <= 12]
+        assert sum(found[k] == found[base[0]] for k in like) >= 0.97 * len(like) and len(like) > 120
+
+
 def test_every_pair_of_a_bucket(spark, monkeypatch):
     """With one sketch for all, the groups are those of brute force."""
     read = near._read
@@ -83,6 +99,20 @@ def test_every_pair_of_a_bucket(spark, monkeypatch):
     assert {x["doc_id"]: x["group_doc_id"] for x in found} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("n", [5, 8, 10, 15, 20, 40, 50, 51, 60, 100, 200])
+def test_sketch_recall_at_the_threshold(n):
+    """Pairs with as many substitutions as SIMILARITY allows share a sketch."""
+    r = np.random.default_rng(n)
+    a = r.integers(0, 1 << 62, (300, n)).astype(np.uint64)
+    b, edits = a.copy(), int((1 - near.SIMILARITY) * n + 1e-9)
+    for x in b:
+        x[r.choice(n, edits, False)] = r.integers(0, 1 << 62, edits)
+    both = np.concatenate([a, b])
+    sk, m = near._sketched(both.ravel(), np.repeat(np.arange(600), n), np.full(600, n), near.SIMILARITY)
+    one, two = sk.reshape(2, 300, m[0])
+    assert (m == m[0]).all() and (one == two).any(1).mean() >= 0.9
+
+
 def test_banded_alignment():
     r = random.Random(2)
     a = [np.array([r.randrange(4) for _ in range(r.randint(0, 40))]) for _ in range(200)]
