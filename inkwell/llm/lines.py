@@ -1,10 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of runs of lines.
 
-Runs of ``k`` lines are hashed; in every window of ``window`` successive hashes
-the smallest is a fingerprint, so that two documents which share a run of
-``window + k - 1`` lines share a fingerprint.  Each fingerprint's occurrences
-are joined with its earliest one, the match is extended line by line both ways,
-and matched runs of ``k`` or more lines are deleted from the later document.
+Every run of ``k`` lines is hashed and joined with its earliest occurrence; the
+lines of each later one are deleted.  A longer repeated run is one whose runs of
+``k`` lines all occur earlier, wherever each of them does, so that no match has
+to be extended and none is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from ._lex import fresh, grams, pieces, run_hashes, spans
 from ._store import written
 
-K, WINDOW = 2, 2
+K = 2
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 
@@ -28,71 +27,21 @@ def _lists(values: np.ndarray, size: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values, kind))
 
 
-def _winnowed(g: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
-    """Indices of the window minima; of equal ones the rightmost; one at least in each row."""
-    if not len(g):
-        return np.zeros(0, np.int64)
-    size = np.bincount(row)
-    size = size[size > 0]
-    first = np.cumsum(size) - size
-    pad = window - 1
-    wide = np.full(len(g) + pad * len(size), np.uint64(2**64 - 1))
-    at = np.arange(len(g)) + pad * np.repeat(np.arange(len(size)), size)
-    wide[at] = g
-    source = np.full(len(wide), -1, np.int64)
-    source[at] = np.arange(len(g))
-    starts = first + pad * np.arange(len(size))
-    count = np.maximum(size - pad, 1)
-    begin = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    view = np.lib.stride_tricks.sliding_window_view(np.r_[wide, np.full(pad, np.uint64(2**64 - 1))], window)[begin]
-    return np.unique(source[begin + pad - np.argmin(view[:, ::-1], 1)])
-
-
-def _read(docs: DataFrame, row: str, doc_id: str, text: str, k: int, window: int) -> DataFrame:
+def _read(docs: DataFrame, row: str, doc_id: str, text: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in pieces(b.column(2)):
                 start, end, at, mask = spans(data, offs, _LINE)
                 h = run_hashes(data, start, end, mask, fold=False)
                 g, first = grams(h, at, k)
-                chosen = _winnowed(g, at[first], window)
                 place = np.arange(len(h)) - np.searchsorted(at, at)
-                n = np.bincount(at, minlength=j - i)
-                m = np.bincount(at[first[chosen]], minlength=j - i)
+                m = np.bincount(at[first], minlength=j - i)
                 has = np.flatnonzero(m > 0)
                 keep = pa.array(has)
-                cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), _lists(h.view(np.int64), n, pa.int64()), _lists(g[chosen].view(np.int64), m, pa.int64()), _lists(place[first[chosen]].astype(np.int32), m, pa.int32())]
-                yield pa.RecordBatch.from_arrays([c.take(keep) for c in cols], names=["row", "doc", "lines", "prints", "places"])
+                cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), _lists(g.view(np.int64), m, pa.int64()), _lists(place[first].astype(np.int32), m, pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.take(keep) for c in cols], names=["row", "doc", "prints", "places"])
 
-    return docs.select(row, F.col(doc_id).cast("long"), text).mapInArrow(run, "row long, doc long, lines array<long>, prints array<long>, places array<int>")
-
-
-def _extend(k: int):
-    """Deleted line numbers of each pair (row, lines, earlier lines, shift)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                mine, other = b.column(1), b.column(2)
-                a, c = mine.flatten().to_numpy(), other.flatten().to_numpy()
-                na, nc = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (mine, other))
-                pair = np.repeat(np.arange(len(na)), na)
-                place = np.arange(len(a)) - np.repeat(np.cumsum(na) - na, na)
-                there = place - b.column(3).to_numpy()[pair]
-                inside = (there >= 0) & (there < nc[pair])
-                same = np.zeros(len(a), bool)
-                same[inside] = a[inside] == c[(np.cumsum(nc) - nc)[pair[inside]] + there[inside]]
-                begin = same.copy()
-                begin[1:] &= ~(same[:-1] & (pair[1:] == pair[:-1]))
-                group = np.cumsum(begin)[same] - 1
-                if not len(group):
-                    continue
-                long = (np.bincount(group) >= k)[group]
-                hit = np.flatnonzero(same)[long]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair[hit])), pa.array(place[hit].astype(np.int32))], names=["row", "line"])
-
-    return run
+    return docs.select(row, F.col(doc_id).cast("long"), text).mapInArrow(run, "row long, doc long, prints array<long>, places array<int>")
 
 
 def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
@@ -112,7 +61,7 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW, removed: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, removed: str | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``.
 
     Lines are separated by a line feed and compared as they are; empty lines
@@ -120,26 +69,19 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     last), equal ones in the order of the rows read, so of repeated rows the
     first keeps its lines.  A run may also repeat an earlier part of its own
     document.  Documents of under ``k`` lines, null and empty texts stay as they
-    are; a text of which all lines go is empty.  Every run of ``window + k - 1``
-    lines that occurs earlier loses its fingerprints' lines at least.
+    are; a text of which all lines go is empty.  Every line of every run of ``k``
+    or more lines that occurs earlier is deleted.
     ``removed`` names a column for the number of deleted lines.
     """
     row, gone, key = fresh(docs, "row", "gone", "key")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    read = written(_read(numbered, row, doc_id, text, k, window), "lines")
+    read = written(_read(numbered, row, doc_id, text, k), "lines")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "at")
     seen = read.select("row", "doc", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(F.col("p.prints").alias("print"), "row", "doc", F.col("p.places").alias("at"))
     first = seen.groupBy("print").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
-    pairs = (
-        seen.join(first, "print")
-        .where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-        .select("row", F.col("first.row").alias("other"), (F.col("at") - F.col("first.at")).alias("shift"))
-        .distinct()
-    )
-    mine = read.select("row", F.col("lines").alias("mine"))
-    theirs = read.select(F.col("row").alias("other"), F.col("lines").alias("theirs"))
-    both = pairs.join(theirs, "other").join(mine, "row").select("row", "mine", "theirs", "shift")
-    cut = both.mapInArrow(_extend(k), "row long, line int").groupBy("row").agg(F.collect_set("line").alias(gone)).withColumnRenamed("row", key)
+    later = seen.join(first, "print").where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
+    lines = later.select("row", F.explode(F.sequence("at", F.col("at") + F.lit(k - 1))).alias("line"))
+    cut = lines.groupBy("row").agg(F.collect_set("line").alias(gone)).withColumnRenamed("row", key)
     out = numbered.join(cut, F.col(row) == F.col(key), "left")
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.arrow_udf(_without, "string")(F.when(F.col(gone).isNotNull(), F.col(text)), F.col(gone)))
     cols = [cleaned.alias(c) if c == text else docs[c] for c in docs.columns]
@@ -148,35 +90,22 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     return out.select(*cols)
 
 
-def line_dedup_brute(rows: list[tuple], k: int = K, window: int = WINDOW, h=None) -> list[tuple]:
-    """The same over (doc_id, text) rows in the order read, without Spark: (text, deleted lines)."""
+def line_dedup_brute(rows: list[tuple], k: int = K, h=None) -> list[tuple]:
+    """The same over (doc_id, text) rows in the order read, without Spark or hashes: (text, deleted lines).
+
+    ``h`` isn't used: each run is compared with all earlier ones.
+    """
     texts = [t for _, t in rows]
     split = [[x for x in (t or "").split("\n") if x] for t in texts]
-    prints: dict = {}
+    gone: list[set] = [set() for _ in rows]
+    before: list[list[str]] = []
     for r in sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r)):
         ls = split[r]
-        n = len(ls) - k + 1
-        hs = [h(tuple(ls[i : i + k])) for i in range(n)]
-        picked = set()
-        for s in range(max(1, n - window + 1) if n > 0 else 0):
-            part = range(s, min(s + window, n))
-            picked.add(min(part, key=lambda i: (hs[i], -i)))
-        for i in sorted(picked):
-            prints.setdefault(tuple(ls[i : i + k]), []).append((r, i))
-    gone = [set() for _ in rows]
-    for found in prints.values():
-        r0, i0 = found[0]
-        for r, i in found[1:]:
-            d = i - i0
-            a, b = split[r], split[r0]
-            run: list[int] = []
-            for p in [*range(len(a)), None]:
-                if p is not None and 0 <= p - d < len(b) and a[p] == b[p - d]:
-                    run.append(p)
-                else:
-                    if len(run) >= k:
-                        gone[r] |= set(run)
-                    run = []
+        for i in range(len(ls) - k + 1):
+            run = ls[i : i + k]
+            if run in before:
+                gone[r] |= set(range(i, i + k))
+            before.append(run)
     out = []
     for t, g in zip(texts, gone):
         if t is None:

@@ -217,6 +217,29 @@ def test_line_dedup(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, lines.line_dedup_brute(rows, h=h)))
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_every_repeated_run_of_lines(spark, k):
+    """Against every longest match of every pair of documents."""
+    r = random.Random(13)
+    rows = [(i, "\n".join(r.choice("abcd") for _ in range(r.randint(0, 7)))) for i in range(25)]
+    split_rows, want = [[x for x in t.split("\n") if x] for _, t in rows], []
+    for i, a in enumerate(split_rows):
+        gone = set()
+        for j in range(i + 1):
+            b = split_rows[j]
+            for shift in range(1 if i == j else -len(b), len(a) + 1):
+                run = []
+                for p in range(len(a) + 1):
+                    if p < len(a) and 0 <= p - shift < len(b) and a[p] == b[p - shift]:
+                        run.append(p)
+                        continue
+                    gone |= set(run) if len(run) >= k else set()
+                    run = []
+        want.append((i, "\n".join(x for p, x in enumerate(a) if p not in gone), len(gone)))
+    found = lines.line_dedup(spark.createDataFrame(rows, SCHEMA), k=k, removed="n").orderBy("doc_id").collect()
+    assert [tuple(x) for x in found] == want
+
+
 def test_segmentation_is_the_best():
     r = np.random.default_rng(8)
     for _ in range(60):
