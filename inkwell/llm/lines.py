@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._lex import fresh, grams, pieces, run_hashes, spans
 from ._store import written
 
-K = 2
+K = 1
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 
@@ -70,8 +70,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     first keeps its lines.  A run may also repeat an earlier part of its own
     document.  Documents of under ``k`` lines, null and empty texts stay as they
     are; a text of which all lines go is empty.  Every line of every run of ``k``
-    or more lines that occurs earlier is deleted.
-    ``removed`` names a column for the number of deleted lines.
+    or more lines that occurs earlier is deleted: with ``k`` 1 every line seen
+    before, however short.  ``removed`` names a column for the number of deleted lines.
     """
     row, gone, key = fresh(docs, "row", "gone", "key")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())

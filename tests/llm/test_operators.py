@@ -217,6 +217,13 @@ def test_line_dedup(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, lines.line_dedup_brute(rows, h=h)))
 
 
+def test_repeated_lines_go_wherever_they_were_first(spark):
+    texts = ["L1\nL2\nL3", "L1\nL2\nL3\nL4", "L1\nL2\nL3\nL4", "own\nL2\nother", "single", "single", "x\nx\n\nx"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = [(x["text"], x["n"]) for x in lines.line_dedup(df, removed="n").orderBy("doc_id").collect()]
+    assert found == [("L1\nL2\nL3", 0), ("L4", 3), ("", 4), ("own\nother", 1), ("single", 0), ("", 1), ("x\n", 2)]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_every_repeated_run_of_lines(spark, k):
     """Against every longest match of every pair of documents."""
