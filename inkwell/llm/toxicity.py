@@ -113,8 +113,8 @@ def _score(shared):
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> DataFrame:
     """``docs`` with ``toxic_score`` (log-ratio per letter) and ``toxic``.
 
-    The models are fitted from at most ``most`` labelled documents of each
-    class, of which repeated labels count once; every document is scored.  Null
+    The models are fitted from as many labelled documents of each class as the
+    rarer one has, ``most`` at most; repeated labels count once; every document is scored.  Null
     and empty texts have a null score and aren't toxic; nor is anything, without
     labels of both classes.  Columns of these names in ``docs`` are replaced.
     """
