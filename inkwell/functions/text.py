@@ -152,9 +152,9 @@ def with_terms(rows: DataFrame, token: str, analyzer: Analyzer, out: str = "term
     return rows.join(vocabulary, token)
 
 
-def token_rows(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, token): surviving tokens, numbered after filtering."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(analyzer.tokens(text)).alias("pos", "token"))
+def token_rows(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text", *keep: str) -> DataFrame:
+    """(doc_id, pos, token): surviving tokens, numbered after filtering; and the columns ``keep``."""
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, F.posexplode(analyzer.tokens(text)).alias("pos", "token"))
 
 
 def token_offsets(docs: DataFrame, analyzer: Analyzer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -16,14 +16,14 @@ from ..lineage import settled
 
 
 def postings_of(tokens: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """Postings of (doc_id, pos, token) rows.
+    """Postings of (doc_id, length, pos, token) rows.
 
     One exchange, by token, serves the grouping, the distinct vocabulary and its
     join with the stems; a second, by term and document, merges tokens of one stem.
     """
-    by_token = tokens.groupBy("token", "doc_id").agg(F.collect_list("pos").alias("p"))
-    merged = with_terms(by_token, "token", analyzer).groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
-    return merged.select("term", "doc_id", F.size("positions").alias("term_freq"), "positions")
+    by_token = tokens.groupBy("token", "doc_id").agg(F.collect_list("pos").alias("p"), F.max("length").alias("length"))
+    merged = with_terms(by_token, "token", analyzer).groupBy("term", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"), F.max("length").alias("length"))
+    return merged.select("term", "doc_id", F.size("positions").alias("term_freq"), "length", "positions")
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
@@ -40,6 +40,8 @@ class Index:
     terms: DataFrame
     analyzer: Analyzer
     next_doc_id: int = 0
+    #: What was looked up already: "totals" and terms' document frequencies.
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
     # building
 
@@ -53,28 +55,38 @@ class Index:
     def build(docs: DataFrame, analyzer: Analyzer | None = None) -> Index:
         """Of rows with ``path`` and ``text``, and ``doc_id``, ``title`` and ``metadata`` where there are such columns.
 
-        Without ``doc_id`` ids count from 0 in the order of paths.  A document
-        without tokens has no postings but counts.
+        Without ``doc_id`` ids count from 0 in the order of paths, and of rows of
+        one path the last read stays.  A document without tokens has no postings
+        but counts.
         """
-        analyzer = analyzer or Analyzer()
-        rows = _prepared(docs)
+        rows, top = _prepared(docs), 0
         if "doc_id" not in docs.columns:
-            rows = _numbered(rows, 0)
+            rows = settled(_last_of_each_path(rows))
+            ids, top = _numbered(rows.select("path"), 0)
+            rows = rows.join(ids, "path")
+        return Index._of(rows, analyzer or Analyzer(), top)
+
+    @staticmethod
+    def _of(rows: DataFrame, analyzer: Analyzer, next_doc_id: int) -> Index:
+        """Of prepared rows with ids."""
         counted = rows.withColumn("length", F.size(analyzer.tokens("text")))
         documents = counted.select("doc_id", "path", "length", "title", "metadata", "first_line")
-        postings = postings_of(token_rows(rows, analyzer), analyzer)
-        top = documents.agg(F.max("doc_id")).first()[0] if "doc_id" not in docs.columns else None
-        return Index(documents, postings, terms_of(postings), analyzer, 0 if top is None else top + 1)
+        postings = postings_of(token_rows(counted, analyzer, "doc_id", "text", "length"), analyzer)
+        return Index(documents, postings, terms_of(postings), analyzer, next_doc_id)
 
     def cached(self) -> Index:
         """The same index, kept in memory and on disk for repeated queries."""
         kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (self.documents, self.postings)]
-        return replace(self, documents=kept[0], postings=kept[1], terms=terms_of(kept[1]).persist(StorageLevel.MEMORY_AND_DISK))
+        return self._with(documents=kept[0], postings=kept[1], terms=terms_of(kept[1]).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def _with(self, **changed: object) -> Index:
+        """A changed copy, which knows nothing yet."""
+        return replace(self, known={}, **changed)
 
     def settled(self) -> Index:
         """The same index, with its tables computed and their lineage cut."""
         documents, postings = settled(self.documents), settled(self.postings)
-        return replace(self, documents=documents, postings=postings, terms=settled(terms_of(postings)))
+        return self._with(documents=documents, postings=postings, terms=settled(terms_of(postings)))
 
     def close(self) -> None:
         for df in (self.documents, self.postings, self.terms):
@@ -85,19 +97,24 @@ class Index:
     def upsert(self, docs: DataFrame) -> Index:
         """With documents added, or replaced where the path is known, which keeps the id.
 
-        Of rows of one path the last by text stays.  New ids follow the highest
-        ever given.
+        Of rows of one path the last read stays.  New ids follow the highest
+        ever given, in the order of paths.
         """
-        last = W.partitionBy("path").orderBy(F.col("text").desc_nulls_last())
-        rows = _prepared(docs.drop("doc_id")).withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-        known = rows.join(self.documents.select("path", "doc_id"), "path")
-        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self._free())
-        rows = settled(known.unionByName(fresh))
-        gone = rows.select("doc_id")
-        new = Index.build(rows, self.analyzer)
-        documents = self.documents.join(gone, "doc_id", "left_anti").unionByName(new.documents)
-        postings = self.postings.join(gone, "doc_id", "left_anti").unionByName(new.postings)
-        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=max(self.next_doc_id, (rows.agg(F.max("doc_id")).first()[0] or 0) + 1 if not rows.isEmpty() else 0))
+        rows = settled(_last_of_each_path(_prepared(docs.drop("doc_id"))))
+        ids, top = self._ids(rows.select("path"))
+        new = Index._of(rows.join(ids, "path"), self.analyzer, top)
+        return self._replacing(ids, new.documents, new.postings, top)
+
+    def _ids(self, paths: DataFrame) -> tuple[DataFrame, int]:
+        """(path, doc_id) of distinct paths, those known and new ones, and the next free id."""
+        known = self.documents.select("path", "doc_id")
+        fresh, top = _numbered(paths.join(known, "path", "left_anti"), self._free())
+        return paths.join(known, "path").unionByName(fresh), top
+
+    def _replacing(self, ids: DataFrame, documents: DataFrame, postings: DataFrame, top: int) -> Index:
+        documents = self.documents.join(ids, "doc_id", "left_anti").unionByName(documents)
+        postings = self.postings.join(ids, "doc_id", "left_anti").unionByName(postings)
+        return self._with(documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=top)
 
     def _free(self) -> int:
         """The first id above all that were given, by the index or by its source."""
@@ -107,7 +124,8 @@ class Index:
     def add_tokens(self, docs: DataFrame) -> Index:
         """With documents given as ``path``, ``tokens``, ``doc_length`` and maybe ``positions`` (a list for each token), ``title``, ``metadata``.
 
-        Tokens are taken as they are; the length is what the caller says.
+        Tokens are taken as they are; the length is what the caller says.  Of
+        rows of one path the last read stays.
         """
         cols = set(docs.columns)
         rows = docs.select(
@@ -117,32 +135,40 @@ class Index:
             (F.col("metadata") if "metadata" in cols else F.lit(None)).cast("string").alias("metadata"),
             F.lit(None).cast("string").alias("first_line"),
         )
-        known = rows.join(self.documents.select("path", "doc_id"), "path")
-        fresh = _numbered(rows.join(self.documents.select("path"), "path", "left_anti"), self._free())
-        rows = known.unionByName(fresh)
-        gone = rows.select("doc_id")
-        each = rows.select("doc_id", "given", F.posexplode("tokens").alias("pos", "term"))
+        rows = settled(_last_of_each_path(rows))
+        ids, top = self._ids(rows.select("path"))
+        rows = rows.join(ids, "path")
+        each = rows.select("doc_id", "length", "given", F.posexplode("tokens").alias("pos", "term"))
         at = F.coalesce(F.get(F.col("given"), F.col("pos")), F.array("pos"))
-        made = each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_freq"), F.flatten(F.collect_list(at)).alias("positions"))
-        documents = self.documents.join(gone, "doc_id", "left_anti").unionByName(rows.select(*self.documents.columns))
-        postings = self.postings.join(gone, "doc_id", "left_anti").unionByName(made.withColumn("positions", F.array_sort("positions")))
-        return replace(self, documents=documents, postings=postings, terms=terms_of(postings), next_doc_id=self._free() + fresh.count())
+        made = each.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("term_freq"), F.max("length").alias("length"), F.array_sort(F.flatten(F.collect_list(at))).alias("positions"))
+        return self._replacing(ids, rows.select(*self.documents.columns), made, top)
 
     def delete(self, paths: DataFrame) -> Index:
         """Without the documents of these paths; terms that no document has any more go too."""
         gone = self.documents.join(paths.select("path").distinct(), "path", "left_semi").select("doc_id")
         documents = self.documents.join(gone, "doc_id", "left_anti")
         postings = self.postings.join(gone, "doc_id", "left_anti")
-        return replace(self, documents=documents, postings=postings, terms=terms_of(postings))
+        return self._with(documents=documents, postings=postings, terms=terms_of(postings))
 
     def cleared(self) -> Index:
         return Index.empty(self.documents.sparkSession, self.analyzer)
 
     # reading
 
-    def totals(self) -> DataFrame:
-        """One row (n, avg_length): what ranking needs of the documents."""
-        return self.documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
+    def totals(self) -> tuple[int, float]:
+        """The number of documents and their mean length: counted once, or as saved."""
+        if "totals" not in self.known:
+            self.known["totals"] = tuple(self.documents.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first())
+        return self.known["totals"]
+
+    def frequencies(self, terms: Iterable[str]) -> dict[str, int]:
+        """The document frequencies of a query's words; those that no document has are left out."""
+        held = self.known.setdefault("terms", {})
+        missing = sorted(set(terms) - set(held))
+        if missing:
+            held.update(dict.fromkeys(missing, 0))
+            held.update(self.terms.where(F.col("term").isin(missing)).select("term", "doc_freq").collect())
+        return {t: held[t] for t in terms if held[t]}
 
     def stats(self) -> DataFrame:
         """One row: num_documents, num_terms, total_tokens, avg_doc_length (to two places)."""
@@ -192,7 +218,8 @@ class Index:
     def from_dict(spark: SparkSession, data: dict, analyzer: Analyzer | None = None) -> Index:
         """Of what ``to_dict`` gave; frequencies are counted again."""
         docs = [(int(i), d["path"], d["length"], d.get("title"), json.dumps(d.get("metadata") or {}), None) for i, d in data["documents"].items()]
-        posts = [(t, p["doc_id"], p["term_freq"], p["positions"]) for t, e in data["terms"].items() for p in e["postings"]]
+        length = {i: n for i, _, n, *_ in docs}
+        posts = [(t, p["doc_id"], p["term_freq"], length[p["doc_id"]], p["positions"]) for t, e in data["terms"].items() for p in e["postings"]]
         postings = spark.createDataFrame(posts, schemas.POSTINGS)
         return Index(spark.createDataFrame(docs, schemas.DOCUMENTS), postings, terms_of(postings), analyzer or Analyzer(), data.get("next_doc_id", len(docs)))
 
@@ -211,11 +238,27 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(*cols, "path", text.alias("text"), title.alias("title"), metadata.alias("metadata"), line.alias("first_line"))
 
 
-def _numbered(rows: DataFrame, start: int) -> DataFrame:
-    """Dense ids in the order of paths: range-partitioned counts, so that no one task sorts all rows."""
-    ordered = rows.repartitionByRange(F.col("path")).sortWithinPartitions("path").withColumn("__p", F.spark_partition_id())
-    each = W.partitionBy("__p").orderBy("path")
-    before = ordered.groupBy("__p").agg(F.count("*").alias("c"))
-    base = before.select("__p", (F.sum("c").over(W.orderBy("__p")) - F.col("c")).alias("__b"))
-    numbered = ordered.withColumn("__r", F.row_number().over(each)).join(F.broadcast(base), "__p")
-    return numbered.withColumn("doc_id", (F.col("__r") - 1 + F.col("__b") + start).cast("long")).drop("__p", "__r", "__b")
+def _last_of_each_path(rows: DataFrame) -> DataFrame:
+    """Of rows of one path the last read; merged before the exchange, so that a path of many rows is no burden."""
+    cols = [c for c in rows.columns if c != "path"]
+    last = rows.withColumn("__at", F.monotonically_increasing_id()).groupBy("path").agg(F.max_by(F.struct(*cols), "__at").alias("__row"))
+    return last.select("path", "__row.*")
+
+
+def _numbered(paths: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """(path, doc_id): dense ids in the order of distinct paths, and the id after the last.
+
+    The range-partitioned rows are computed once, with their place, so that
+    counting and numbering see the same; no one task sorts all of them.
+    """
+    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = paths.repartitionByRange(n, "path").sortWithinPartitions("path")
+    placed = settled(rows.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()))
+    before, at = [], start
+    for p, first, count in sorted(tuple(r) for r in placed.groupBy("__p").agg(F.min("__k"), F.count("*")).collect()):  # a row a partition
+        before.append((p, at - first))
+        at += count
+    if not before:
+        return placed.select("path", F.lit(None).cast("long").alias("doc_id")), start
+    base = F.broadcast(paths.sparkSession.createDataFrame(before, "__p int, __b long"))  # a row a partition
+    return placed.join(base, "__p").select("path", (F.col("__k") + F.col("__b")).alias("doc_id")), at

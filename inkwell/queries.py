@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import distance
 from .functions.text import Analyzer, stem_step_sql, stems_sql, token_offsets, token_rows, tokens_sql, with_stems
 from .operators.index import Index
-from .operators.ranking import explained, idf, ranked
+from .operators.ranking import explained, idf, ranked, score
 from .plans.compile import Compiler
 from .sources import store, tables
 
@@ -112,8 +112,7 @@ def _search(query: str, k: int = 20, mode: str = "compat", analyzer: Analyzer =
 
 def _rank(terms: list[str], k: int = 20, min_score: float = 0.0, k1: float = 1.5, b: float = 0.75) -> tuple[Callable, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wanted = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
-        return ranked(index_of(spark, sf_dir), wanted, k, min_score, k1, b)
+        return ranked(index_of(spark, sf_dir), terms, k, min_score, k1, b)
 
     return run, f"{_with()} SELECT doc_id, score, rank::int AS rank FROM ({_ranked_sql(_words_sql(*terms), k, min_score, k1, b)})"
 
@@ -191,11 +190,9 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_of(spark, sf_dir)
     items = token_rows(tables.table(spark, sf_dir, "benchmark"), PLAIN, "item_id").select(F.col("doc_id").alias("item_id"), F.lower("token").alias("term"))
     wanted = items.groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    hits = index.postings.select("term", "doc_id", "term_freq").join(index.terms.select("term", "doc_freq"), "term").join(index.documents.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.totals()))
-    from .operators.ranking import tf_norm
-
-    one = idf(F.col("n"), F.col("doc_freq")) * tf_norm(F.col("term_freq"), F.col("length"), F.col("avg_length"))
-    scored = hits.select("term", "doc_id", one.alias("s")).join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("s") * F.col("times")), 4).alias("score"))
+    wanted = wanted.join(index.terms.select("term", "doc_freq"), "term")
+    hits = index.postings.select("term", "doc_id", "term_freq", "length").join(wanted, "term")
+    scored = hits.select("item_id", "doc_id", (score(index, F.col("doc_freq")) * F.col("times")).alias("s")).groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
     best = W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item_id", "doc_id", "score")
 
@@ -236,7 +233,7 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     "corpus_stats": (_of_index(Index.stats), _stats_sql("SELECT doc_id AS id, text FROM documents")),
     "vocab_sorted": (_of_index(Index.vocabulary), f"{_with()} SELECT term FROM terms ORDER BY term"),
     "top_terms": (_of_index(Index.top_terms, DEFAULT), f"{_with(True)} SELECT term, doc_freq, total_freq FROM terms ORDER BY total_freq DESC, term LIMIT 20"),
-    "idf_all": (_of_index(lambda i: i.terms.crossJoin(F.broadcast(i.totals())).select("term", F.round(idf(F.col("n"), F.col("doc_freq")), 6).alias("idf"))), f"{_with()} SELECT term, round(ln((n - doc_freq + 0.5::double) / (doc_freq + 0.5::double) + 1), 6) AS idf FROM terms, stats"),
+    "idf_all": (_of_index(lambda i: i.terms.select("term", F.round(idf(F.lit(float(i.totals()[0])), F.col("doc_freq")), 6).alias("idf"))), f"{_with()} SELECT term, round(ln((n - doc_freq + 0.5::double) / (doc_freq + 0.5::double) + 1), 6) AS idf FROM terms, stats"),
     "bm25_term": _rank(["ention"]),
     "bm25_multi": _rank(["ention", "thst", "nope"]),
     "bm25_repeat_term": _rank(["ention", "thst", "ention"]),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 DOCUMENTS = "doc_id long, path string, length int, title string, metadata string, first_line string"
-POSTINGS = "term string, doc_id long, term_freq int, positions array<int>"
+#: ``length`` is the document's, so that ranking reads no other table.
+POSTINGS = "term string, doc_id long, term_freq int, length int, positions array<int>"
 TERMS = "term string, doc_freq long, total_freq long"
 CONFIG = "key string, value string"
 INPUT = "path string, text string, title string, metadata string"
