@@ -59,19 +59,16 @@ def _figures(info: dict) -> str:
 
 def _index(a: argparse.Namespace, spark: SparkSession) -> int:
     engine = Engine(spark, a.db, Analyzer(remove_stop_words=not a.no_stop_words, stem=not a.no_stem), extensions=a.extensions)
-    total, began = 0, time.time()
+    began = time.time()
+    done = engine.index_paths(a.paths, recursive=not a.no_recursive)
     for name in a.paths:
-        if Path(name).is_file():
-            done = engine.index_file(name) is not None
-            total += done
-            if done:
-                print(f"  {name}")
-        elif Path(name).is_dir():
-            n = engine.index_directory(name, recursive=not a.no_recursive)
-            total += n
-            print(f"  {n} files of {name}")
-        else:
+        if name not in done:
             print(f"  {name} isn't there", file=sys.stderr)
+        elif Path(name).is_dir():
+            print(f"  {done[name]} files of {name}")
+        elif done[name]:
+            print(f"  {name}")
+    total = sum(done.values())
     engine.save()
     print(f"{total} files in {time.time() - began:.2f} s, in {a.db}\n{_figures(engine.index_info())}")
     return 0
@@ -101,14 +98,14 @@ def _info(a: argparse.Namespace, spark: SparkSession) -> int:
     elif a.json:
         print(json.dumps({"index": a.db, **info}, indent=2))
     else:
-        print(f"Index: {a.db}\n{_figures(info)} tokens\n\n  {'Term':<20} {'Doc Freq':>10} {'Total Freq':>12}")
+        print(f"Index: {a.db}\n{_figures(info)} tokens\n\nMost frequent terms (documents, occurrences):")
         for r in engine.index.top_terms(20).collect():
-            print(f"  {r['term']:<20} {r['doc_freq']:>10} {r['total_freq']:>12}")
+            print(f"  {r['term']}: {r['doc_freq']}, {r['total_freq']}")
     return 0
 
 
 def _clear(a: argparse.Namespace, spark: SparkSession) -> int:
-    if not store.exists(a.db):
+    if not store.exists(spark, a.db):
         print(f"No index in {a.db}")
         return 1
     if not a.yes and input(f"Empty the index in {a.db}? [y/N] ").lower() not in ("y", "yes"):

@@ -36,13 +36,22 @@ class Engine:
     def __init__(self, spark: SparkSession, index_path: str | Path | None = None, analyzer: Analyzer | None = None, k1: float = K1, b: float = B, extensions: Iterable[str] | None = None, max_file_size: int = files.MAX_BYTES, mode: str = "compat"):
         self.spark, self.index_path, self.k1, self.b, self.mode = spark, index_path, k1, b, mode
         self.extensions, self.max_file_size = set(extensions or ()) or None, max_file_size
-        if index_path and store.exists(index_path):
+        if index_path and store.exists(spark, index_path):
             self.index = store.load(spark, index_path)
             if analyzer is not None and analyzer != self.index.analyzer:
                 warnings.warn("the index was made by another analyser; queries use its own", stacklevel=2)
         else:
             self.index = Index.empty(spark, analyzer)
 
+    @property
+    def exists(self) -> bool:
+        """Whether the index has been saved."""
+        return bool(self.index_path) and store.exists(self.spark, self.index_path)
+
+    def close(self) -> None:
+        """Gives up what the index holds in memory; nothing is saved."""
+        self.index.close()
+
     def __enter__(self) -> Engine:
         return self
 
@@ -83,6 +92,24 @@ class Engine:
         self.add(docs)
         return n
 
+    def index_paths(self, paths: Iterable[str | Path], recursive: bool = True) -> dict[str, int]:
+        """Files and folders, put into the index at once: how many documents each gave; those missing aren't named."""
+        out, every = {}, None
+        for name in map(str, paths):
+            if Path(name).is_dir():
+                found = files.listed(name, recursive, self.extensions)
+            elif Path(name).is_file():
+                found = files.one_file(name, None, self.extensions)
+            else:
+                continue
+            docs = files.read_files(self.spark, found, self.max_file_size).cache() if found else None
+            out[name] = docs.count() if found else 0
+            if docs is not None:
+                every = docs if every is None else every.unionByName(docs)
+        if every is not None:
+            self.add(every)
+        return out
+
     def remove(self, path: str) -> bool:
         """Whether the path was there."""
         had = not self.index.documents.where(self.index.documents.path == path).isEmpty()

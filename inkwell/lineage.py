@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and put into the cluster's ``spark.checkpoint.dir``; a local folder only where it is unset on a local master."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset on a local master."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkwell-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and put into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -7,13 +7,15 @@ extension: full sets, negation by anti join, and ``min_score`` everywhere.
 A chain of operators is one node.  Cuts that are wider than the corpus do
 nothing, so that the first parts of a long AND are evaluated as whole sets in
 one aggregation, and only the last ones, as many as the corpus has doublings,
-one by one.  The words of an OR are scored in one scan.
+one by one.  The words of an OR are scored in one scan and merged in one task,
+which gets ``k`` rows of each.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -165,17 +167,14 @@ class Compiler:
         return left
 
     def either(self, parts: tuple[Node, ...], k: int, min_score: float) -> DataFrame:
-        """Of a document's scores the largest counts; ties come as if the parts were merged one after the other."""
-        rows = F.array_sort(F.collect_list(F.struct("i", "score", "rank")))
+        """Of a document's scores the largest counts; parts are merged from the left, each time cut to ``k``."""
+        found = self.sides(parts, k, min_score)
+        if len(parts) > 2:  # at most k rows of each part, whatever the corpus
+            return found.groupBy().applyInPandas(_merged(k, min_score), "doc_id long, score double, rank int, snippet string, bare boolean")
         better = F.struct((-F.col("score")).alias("s"), "i")
-        merged = self.sides(parts, k, min_score).groupBy("doc_id").agg(rows.alias("x"), F.max("score").alias("score"), F.min_by(F.struct("snippet", "bare"), better).alias("of")).where(F.col("score") >= min_score)
-
-        def before(m):
-            return F.coalesce(-F.array_max(F.transform(F.filter("x", lambda r: r["i"] <= m), lambda r: r["score"])), F.lit(float("inf")))
-
-        order = F.transform(F.sequence(F.lit(len(parts) - 2), F.lit(0), F.lit(-1)), before)
-        merged = merged.select("doc_id", "score", order.alias("then"), F.col("x")[0]["i"].alias("side"), F.col("x")[0]["rank"].alias("place"), "of.snippet", "of.bare")
-        return self.top(merged, k, "then", "side", "place").select("doc_id", "score", "rank", "snippet", "bare")
+        merged = found.groupBy("doc_id").agg(F.max("score").alias("score"), F.min(F.struct("i", "rank")).alias("first"), F.min_by(F.struct("snippet", "bare"), better).alias("of"))
+        kept = merged.where(F.col("score") >= min_score).select("doc_id", "score", "first", "of.snippet", "of.bare")
+        return self.top(kept, k, "first").select("doc_id", "score", "rank", "snippet", "bare")
 
     def full(self, node: Node) -> DataFrame:
         """Strict evaluation over whole sets, in no order."""
@@ -190,3 +189,22 @@ class Compiler:
                 parts = F.array_sort(F.collect_list(F.struct("i", "score")))
                 found = each.agg(parts.alias("x")).where(F.size("x") == len(node.parts)).select("doc_id", F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["score"]).alias("score"))
         return found.select("doc_id", "score", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("snippet"), F.lit(False).alias("bare"))
+
+
+def _merged(k: int, min_score: float):
+    """Merges the parts of an OR one after the other."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for i, part in sorted(rows.groupby("i"), key=lambda x: x[0]):
+            first = {doc: (0, x[1]) for doc, x in held.items()}
+            for doc, score, rank, snippet, bare in part[["doc_id", "score", "rank", "snippet", "bare"]].itertuples(index=False):
+                first.setdefault(doc, (1, rank))
+                if doc not in held or score > held[doc][0]:
+                    held[doc] = (score, rank, snippet, bare)
+            best = sorted((doc for doc, x in held.items() if x[0] >= min_score), key=lambda d: (-held[d][0], first[d]))[:k]
+            held = {doc: (held[doc][0], at, *held[doc][2:]) for at, doc in enumerate(best, 1)}
+        out = pd.DataFrame([(doc, *x) for doc, x in held.items()], columns=["doc_id", "score", "rank", "snippet", "bare"])
+        return out.astype({"snippet": object}).where(out.notna(), None)
+
+    return run

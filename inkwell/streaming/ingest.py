@@ -17,7 +17,7 @@ def ingest(stream: DataFrame, folder: str | Path, checkpoint: str | Path, analyz
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        index = store.load(spark, folder) if store.exists(folder) else Index.empty(spark, analyzer)
+        index = store.load(spark, folder) if store.exists(spark, folder) else Index.empty(spark, analyzer)
         store.save(index.upsert(batch), folder)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
