@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch: whole texts are wide, and the JVM and the worker each hold a batch or two.
@@ -37,3 +38,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _steady(plan) -> bool:
+    """Whether a plan is a scan of files with projections and filters, which gives its rows in one order always."""
+    if not plan.deterministic():
+        return False
+    name, children = plan.nodeName(), plan.children()
+    if children.isEmpty():
+        return name in ("LogicalRelation", "LocalRelation")
+    return name in ("Project", "Filter") and _steady(children.head())
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with the number of each row, the same whenever it is computed.
+
+    What isn't read straight from files, and so might come in another order when
+    it is computed again, is written once.
+    """
+    if not _steady(docs._jdf.queryExecution().optimizedPlan()):
+        docs = written(docs, "rows")
+    return docs.withColumn(row, F.monotonically_increasing_id())

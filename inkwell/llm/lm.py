@@ -1,10 +1,15 @@
 """Language-model scoring: stupid backoff over hash-partitioned n-gram tables.
 
-Documents are exploded into words and word pairs.  N-grams go to the partition
-of their hash, where the count table of that partition is built from all
-occurrences and joined to the exploded n-grams; the parts are then summed per
-document.  On the way rows are packed: one row holds the sorted n-grams that a
-piece of the input sends to one partition, and for each its documents.
+Documents are scored under the bigrams of all other documents.  Runs of whole
+documents, the chunks, are exploded into their distinct words and word pairs
+with counts, so that what is shuffled is aggregated beforehand.  These rows meet
+by their hash, where the count table is the sum of each n-gram's rows; the counts
+are joined to the exploded n-grams there and go back to the chunks, but for
+n-grams that one chunk alone has.  Each chunk's documents then take their own
+occurrences out of the counts, back off where none is left, and sum up.
+
+No group grows with the corpus: a chunk is a bounded number of words, or one
+document, and an n-gram, however common, has a row of fixed size in a chunk.
 """
 
 from __future__ import annotations
@@ -16,17 +21,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._lex import GRAM, pieces, words
-from ._store import written
+from ._lex import GRAM, fresh, pieces, release, words
+from ._store import numbered, written
 
 ALPHA = 0.4
-#: Words packed at a time, and bytes of text for each partition of the tables.
-PACKED, PARTITION_BYTES = 1_200_000, 8 << 20
+#: Words of a chunk, each document counting as one more, and rows handed on at a time.
+CHUNK, ROWS = 1_200_000, 100_000
+#: What a word counts that no other document has.
+UNSEEN = 0.5
 _U = np.uint64
-_PACK = "kind int, bucket long, chunk long, body binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -49,173 +55,144 @@ def _unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
-def _entries(key: np.ndarray, doc: np.ndarray, weight: np.ndarray):
-    """Sorted keys, the occurrences of each, how many documents have it, those, and their weights."""
-    order = np.argsort(key, kind="stable")  # documents stay in order
-    key, doc, weight = key[order], doc[order], weight[order]
-    new_key = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    cut = np.flatnonzero(new_key | np.r_[True, doc[1:] != doc[:-1]][: len(key)])
-    first = np.flatnonzero(new_key)
-    count = np.diff(np.r_[first, len(key)])
-    docs = np.diff(np.r_[np.searchsorted(cut, first), len(cut)])
-    total = np.add.reduceat(weight, cut) if len(cut) else weight
-    return key[first], count, docs, doc[cut], total
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """(number, ids, words of each, word hashes): whole documents, cut at the same ones whatever the batches."""
+    first, ids, sizes, hashes, n = None, [], [], [], 0
+    for b in batches:
+        for i, j, data, offs in pieces(b.column(2)):
+            h, at = words(data, offs)
+            size = np.bincount(at, minlength=j - i)
+            ends, k = np.cumsum(size), 0
+            while k < j - i:
+                if first is None:
+                    first = b.column(0)[i + k].as_py()
+                upto = min(j - i, k + int(np.searchsorted(np.cumsum(size[k:] + 1), most - n)) + 1)
+                part = slice(ends[k] - size[k], ends[upto - 1])
+                ids += b.column(1).slice(i + k, upto - k).to_pylist()
+                sizes.append(size[k:upto])
+                hashes.append(h[part].copy())
+                n += int(size[k:upto].sum()) + upto - k
+                k = upto
+                if n >= most:
+                    yield first, ids, np.concatenate(sizes), np.concatenate(hashes)
+                    first, ids, sizes, hashes, n = None, [], [], [], 0
+    if first is not None:
+        yield first, ids, np.concatenate(sizes), np.concatenate(hashes)
+
+
+def _pairs(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word pairs within documents, and the places of their second words."""
+    first = np.zeros(len(h) + 1, bool)
+    first[np.cumsum(size) - size] = True
+    at = np.flatnonzero(~first[:-1])
+    two = (h[at - 1] * GRAM[30] + h[at]) * GRAM[31]
+    two ^= two >> _U(31)
+    return two * GRAM[32], at
+
+
+def _exploded(most: int):
+    """A row for each distinct word and pair of a chunk, in the order of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _, size, h in _chunks(batches, most):
+            found = [np.unique(x, return_counts=True) for x in (h, _pairs(h, size)[0])]
+            key, n = (np.concatenate(x) for x in zip(*found))
+            for i in range(0, len(key), ROWS):
+                k = key[i : i + ROWS]
+                cols = [pa.array(k.view(np.int64)), pa.array(np.full(len(k), chunk)), pa.array(np.arange(i, i + len(k), dtype=np.int32)), pa.array(n[i : i + ROWS].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "chunk", "at", "n"])
+            del found, key, n
+        release()
 
+    return run
 
-def _rows(kind: int, chunk: int, buckets: int, key, count, docs, doc, weight) -> Iterator[tuple]:
-    bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
-    at = np.r_[0, np.cumsum(docs)]
-    for i, j in zip(cut, np.r_[cut[1:], len(key)].astype(int)):
-        k = key[i:j]
-        d = slice(at[i], at[j])
-        yield kind, int(bucket[i]), chunk, _pack(np.r_[k[:1], np.diff(k)], count[i:j].astype(np.uint32), docs[i:j].astype(np.uint32), doc[d].astype(np.uint32), weight[d].astype(np.int32))
 
+def _packed(most: int):
+    """A row for each chunk: its documents' words."""
 
-def _explode(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-
-        def flush() -> pa.RecordBatch:
-            rows = np.concatenate([r for r, _, _, _ in held])
-            ids = np.concatenate([d for _, d, _, _ in held])
-            size = np.concatenate([n for _, _, n, _ in held])
-            h = np.concatenate([w for _, _, _, w in held])
-            known = np.concatenate([[x is not None for x in d] for _, d, _, _ in held]).astype(np.uint8)
-            doc = np.repeat(np.arange(len(rows)), size)
-            first = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
-            last = np.r_[doc[1:] != doc[:-1], True][: len(doc)]
-            chunk = int(rows[0])
-            out = [(0, chunk, chunk, _pack(np.array([x or 0 for x in ids], np.int64), known, size.astype(np.int64)))]
-            out += _rows(1, chunk, buckets, *_entries(h, doc, first.astype(np.int64) - ~last))
-            pair = np.flatnonzero(~first)
-            two = (h[pair - 1] * GRAM[30] + h[pair]) * GRAM[31]
-            two ^= two >> _U(31)
-            out += _rows(2, chunk, buckets, *_entries(two * GRAM[32], doc[pair], np.ones(len(pair), np.int64)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["kind", "bucket", "chunk", "body"])
-
-        n = 0
-        for b in batches:
-            for i, j, data, offs in pieces(b.column(2)):
-                h, at = words(data, offs)
-                held.append((b.column(0).slice(i, j - i).to_numpy(), np.array(b.column(1).slice(i, j - i).to_pylist(), object), np.bincount(at, minlength=j - i), h))
-                n += len(h)
-                if n >= PACKED:
-                    yield flush()
-                    n = 0
-        if held:
-            yield flush()
+        for chunk, ids, size, h in _chunks(batches, most):
+            word, place = np.unique(h, return_inverse=True)
+            known = np.array([x is not None for x in ids], np.uint8)
+            body = _pack(np.array([x or 0 for x in ids], np.int64), known, size.astype(np.int64), np.r_[word[:1], np.diff(word)], place.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([body], pa.binary())], names=["chunk", "body"])
+
+    return run
+
+
+def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """How often each occurrence's n-gram is in the occurrence's document."""
+    _, at, n = np.unique(doc * (int(gram.max(initial=0)) + 1) + gram, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _score(alpha: float):
+    def run(text: pa.Table, counts: pa.Table) -> pa.Table:
+        """(doc_id, n_words, backed, part): log-scores before the total is known, which ``backed`` words are divided by."""
+        ids, known, size, word, place = _unpack(text.column("body")[0].as_py())
+        word = np.cumsum(word, dtype=np.uint64)
+        two, second = _pairs(word[place], size)
+        pair, inv = np.unique(two, return_inverse=True)
+        total = np.r_[np.bincount(place, minlength=len(word)), np.bincount(inv, minlength=len(pair))]
+        total[counts.column("at").to_numpy()] = counts.column("total").to_numpy()
+        doc = np.repeat(np.arange(len(size)), size)
+        one = total[: len(word)][place] - _own(doc, place.astype(np.int64))
+        both = total[len(word) :][inv] - _own(doc[second], inv)
+        value = np.log(np.where(one > 0, one, UNSEEN))
+        value[second] += np.log(alpha)
+        seen = both > 0
+        at = second[seen]
+        value[at] = np.log(both[seen]) - np.log(one[at - 1])
+        backed = np.ones(len(value))
+        backed[at] = 0
+        cols = [pa.array(ids, mask=known == 0), pa.array(size), pa.array(np.bincount(doc, backed, len(size)).astype(np.int64)), pa.array(np.bincount(doc, value, len(size)))]
+        return pa.Table.from_arrays(cols, names=["doc_id", "n_words", "backed", "part"])
 
     return run
 
 
-def _joined(table: pa.Table) -> pa.Table:
-    """One partition's count table, joined to what each chunk exploded: (chunk, parts)."""
-    if table.num_rows and table.column("kind")[0].as_py() == 0:
-        return table.select(["kind", "chunk", "body"])
-    chunks, bodies = table.column("chunk").to_pylist(), [_unpack(x) for x in table.column("body").to_pylist()]
-    for x in bodies:
-        x[0] = np.cumsum(x[0], dtype=np.uint64)
-    every, inv = np.unique(np.concatenate([x[0] for x in bodies]), return_inverse=True)
-    count = np.bincount(inv, np.concatenate([x[1] for x in bodies]).astype(np.float64))
-    value, at, out = np.log(count), 0, []
-    del every
-    for chunk, (key, _, docs, doc, weight) in zip(chunks, bodies):
-        mine = np.repeat(value[inv[at : at + len(key)]], docs) * weight
-        at += len(key)
-        order = np.argsort(doc, kind="stable")
-        doc, mine = doc[order], mine[order]
-        cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        out.append((1, chunk, _pack(doc[cut], np.add.reduceat(mine, cut))))
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["kind", "chunk", "body"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """(doc_id, n_words, part) of one chunk's documents."""
-    kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
-    ids, known, size = _unpack(bodies[kinds.index(0)])
-    total = np.zeros(len(ids))
-    for body in sorted(x for k, x in zip(kinds, bodies) if k):
-        doc, part = _unpack(body)
-        total[doc] += part
-    return pa.Table.from_arrays([pa.array(ids, mask=known == 0), pa.array(size), pa.array(total)], names=["doc_id", "n_words", "part"])
-
-
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_words, log_score): every document's mean log-score per word.
 
     A word's score is the count of its pair with the word before over the count
-    of that word; the first word's is its count over the number of all words.
-    Counts are over all documents, so every pair has been seen; ``scored_by``
-    backs off for documents outside the corpus.  Null, empty and wordless texts
-    have 0 words and a null score.  Repeated rows count as often as they occur
-    and have one result each.  An empty table gives an empty result.
+    of that word; for a pair that no other document has it is ``alpha`` times,
+    and for a first word once, the word's count over that of all words, where a
+    word that no other document has counts as ``UNSEEN``.  Counts are those of
+    all other documents: repeated rows count for each other.  A document alone
+    in the corpus has a total of one.  ``chunk`` changes what is shuffled, not the result.  ``doc_id`` is a number, or text that
+    holds one.  Null, empty and wordless texts have 0 words and a null score;
+    every row has one result.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(8, -(-size // PARTITION_BYTES))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    packed = rows.mapInArrow(_explode(buckets), _PACK)
-    parts = packed.groupBy("kind", "bucket").applyInArrow(_joined, "kind int, chunk long, body binary")
-    sums = written(parts.groupBy("chunk").applyInArrow(_summed, "doc_id long, n_words long, part double"), "sums")
+    (row,) = fresh(docs, "row")
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), row).select(row, "doc_id", "text")
+    grams = rows.mapInArrow(_exploded(chunk), "key long, chunk long, at int, n int")
+    by_key = W.partitionBy("key")
+    counts = grams.select("chunk", "at", F.sum("n").over(by_key).alias("total"), F.count("*").over(by_key).alias("chunks")).where("chunks > 1").select("chunk", "at", "total")
+    texts = rows.mapInArrow(_packed(chunk), "chunk long, body binary")
+    sums = written(texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_score(alpha), "doc_id long, n_words long, backed long, part double"), "sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
-    return _means(sums, float(total), spark)
-
-
-def _means(sums: DataFrame, total: float, spark) -> DataFrame:
-    mean = (F.col("part") - float(np.log(total or 1))) / F.col("n_words")
+    rest = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double"))
+    mean = (F.col("part") - F.col("backed") * rest) / F.col("n_words")
     return sums.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("log_score"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, data, offs in pieces(b.column(2)):
-            h, at = words(data, offs)
-            before = np.r_[_U(0), h[:-1]] if len(h) else h
-            first = np.r_[True, at[1:] != at[:-1]][: len(h)]
-            rows = pa.array(at + i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(h.view(np.int64)), pa.array(before.view(np.int64), mask=first)], names=["row", "doc_id", "word", "before"])
-
-
-def scored_by(docs: DataFrame, corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """As ``scored``, with the counts of another corpus, by joins of plain rows.
-
-    A pair that the corpus lacks backs off to ``alpha`` times the word's share of
-    the corpus; a word that it lacks counts as half a word.
-    """
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("row", "doc_id", "word", "before")])
-
-    def exploded(df: DataFrame) -> DataFrame:
-        return df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_exploded, schema)
-
-    seen = written(exploded(corpus), "corpus")
-    one = seen.groupBy("word").agg(F.count("*").alias("c1"))
-    two = seen.where("before is not null").groupBy("before", "word").agg(F.count("*").alias("c2"))
-    total = float(max(1, seen.count()))
-    rows = exploded(docs)
-    ctx = one.select(F.col("word").alias("before"), F.col("c1").alias("c0"))
-    joined = rows.join(two, ["before", "word"], "left").join(ctx, "before", "left").join(one, "word", "left")
-    share = F.coalesce(F.col("c1").cast("double"), F.lit(0.5)) / total
-    s = F.when(F.col("c2").isNotNull(), F.col("c2") / F.col("c0")).when(F.col("before").isNull(), share).otherwise(alpha * share)
-    sums = joined.groupBy("row").agg(F.count("*").alias("n_words"), F.sum(F.log(s)).alias("part"))
-    every = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
-    out = every.join(sums, "row", "left")
-    return out.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.round(F.col("part") / F.col("n_words"), 6).alias("log_score"))
-
-
-SQL = """
+SQL = f"""
 WITH t AS (
-  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
-), x AS (
-  SELECT d, unnest(w) AS word, unnest(list_prepend(NULL, w[:-2])) AS before FROM t WHERE len(w) > 0
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+), x AS MATERIALIZED (
+  SELECT d, unnest(w) AS word, unnest(list_prepend(NULL, w[:-2])) AS before, len(w) AS n FROM t WHERE len(w) > 0
+), own1 AS MATERIALIZED (
+  SELECT d, word, count(*) AS c FROM x GROUP BY d, word
+), own2 AS MATERIALIZED (
+  SELECT d, before, word, count(*) AS c FROM x WHERE before IS NOT NULL GROUP BY d, before, word
 ), one AS (
-  SELECT word, count(*) AS c FROM x GROUP BY word
+  SELECT d, word, c_all - c AS c FROM (SELECT *, sum(c) OVER (PARTITION BY word) AS c_all FROM own1)
 ), two AS (
-  SELECT before, word, count(*) AS c FROM x WHERE before IS NOT NULL GROUP BY before, word
+  SELECT d, before, word, c_all - c AS c FROM (SELECT *, sum(c) OVER (PARTITION BY before, word) AS c_all FROM own2)
 ), s AS (
-  SELECT x.d, sum(CASE WHEN x.before IS NULL THEN ln(one.c::double / (SELECT count(*) FROM x)) ELSE ln(two.c::double / ctx.c) END) AS part
-  FROM x JOIN one ON x.word = one.word LEFT JOIN one AS ctx ON x.before = ctx.word LEFT JOIN two ON x.before = two.before AND x.word = two.word GROUP BY x.d
+  SELECT x.d, sum(CASE WHEN two.c > 0 THEN ln(two.c::double / ctx.c)
+    ELSE CASE WHEN x.before IS NULL THEN 0 ELSE ln({ALPHA}::double) END + ln(CASE WHEN one.c > 0 THEN one.c::double ELSE {UNSEEN} END / greatest((SELECT count(*) FROM x) - x.n, 1)) END) AS part
+  FROM x JOIN one ON x.d = one.d AND x.word = one.word LEFT JOIN one AS ctx ON x.d = ctx.d AND x.before = ctx.word LEFT JOIN two ON x.d = two.d AND x.before = two.before AND x.word = two.word GROUP BY x.d
 )
 SELECT t.doc_id, coalesce(len(t.w), 0)::bigint AS n_words, round(s.part / len(t.w), 6) AS log_score FROM t LEFT JOIN s USING (d)
 """

@@ -59,7 +59,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's mean log-score under the bigrams of all documents."""
+    """Each document's mean log-score under the bigrams of all other documents."""
     return lm.scored(_table(spark, sf_dir, "documents"))
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -299,13 +300,38 @@ def test_pieces_are_the_librarys(spark):
         assert v.decode(ids) == t
 
 
-def test_lm_scores(spark):
+def brute_scores(texts):
+    """Stupid backoff under the bigrams of all other documents, by dictionaries."""
+    out, every = [], [split(t) for t in texts]
+    for k, w in enumerate(every):
+        one, two = Counter(), Counter()
+        for other in every[:k] + every[k + 1 :]:
+            one.update(other)
+            two.update(zip(other, other[1:]))
+        total = 0.0
+        for i, x in enumerate(w):
+            if i and two[w[i - 1], x]:
+                total += np.log(two[w[i - 1], x] / one[w[i - 1]])
+            else:
+                total += np.log((lm.ALPHA if i else 1) * (one[x] or lm.UNSEEN) / max(1, sum(one.values())))
+        out.append((len(w), round(float(total) / len(w), 6) if w else None))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [lm.CHUNK, 50, 1])
+def test_lm_scores(spark, chunk):
+    """Whatever the chunks, the scores are those of brute force; text that nothing else has scores worst."""
     r = random.Random(9)
-    rows = [(k, prose(r, r.randint(1, 40), 30)) for k in range(30)] + [(5, "same same"), (5, "same same"), (40, None), (41, ""), (42, "?!")]
+    rows = [(k, prose(r, r.randint(1, 40), 30)) for k in range(30)] + [(5, "same same"), (5, "same same"), (None, None), (41, ""), (42, "?!"), (43, "quite new words only"), (44, rows_text := prose(r, 30, 30)), (45, rows_text)]
     df = spark.createDataFrame(rows, SCHEMA)
-    order = lambda x: sorted((repr(tuple(y)) for y in x.collect()))
-    assert order(lm.scored(df)) == order(lm.scored_by(df, df))
-    away = lm.scored_by(spark.createDataFrame([(1, "same unseen")], SCHEMA), df).first()
-    assert away["n_words"] == 2 and away["log_score"] < 0
+    found = sorted(repr((x["doc_id"], x["n_words"], x["log_score"] and round(x["log_score"], 5))) for x in lm.scored(df, chunk=chunk).collect())
+    want = brute_scores([t for _, t in rows])
+    assert found == sorted(repr((d, n, s and round(s, 5))) for (d, _), (n, s) in zip(rows, want))
+    score = {d: s for (d, _), (_, s) in zip(rows, want) if s is not None}
+    assert score[43] == min(score.values()) and score[44] > sorted(score.values())[-4]
     h, row = words(np.frombuffer(b"Same same", np.uint8), np.array([0, 9]))
     assert h[0] == h[1] and row.tolist() == [0, 0]
+
+
+def test_lm_score_of_one_document(spark):
+    assert lm.scored(spark.createDataFrame([(1, "a b")], SCHEMA)).first()["log_score"] == pytest.approx(np.log(0.5 * 0.4 * 0.5) / 2, abs=1e-6)
