@@ -145,7 +145,7 @@ def _score(alpha: float):
         value[at] = np.log(both[seen]) - np.log(one[at - 1])
         backed = np.ones(len(value))
         backed[at] = 0
-        cols = [pa.array(ids, mask=known == 0), pa.array(size), pa.array(np.bincount(doc, backed, len(size)).astype(np.int64)), pa.array(np.bincount(doc, value, len(size)))]
+        cols = [pa.array(ids, mask=known == 0), pa.array(size), pa.array(np.bincount(doc, backed, len(size)).astype(np.int64)), pa.array(np.bincount(doc, value, len(size)).astype(np.float64))]
         return pa.Table.from_arrays(cols, names=["doc_id", "n_words", "backed", "part"])
 
     return run
