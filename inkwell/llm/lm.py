@@ -29,7 +29,7 @@ from ._store import numbered, written
 
 ALPHA = 0.4
 #: Words of a chunk, each document counting as one more, and rows handed on at a time.
-CHUNK, ROWS = 1_200_000, 100_000
+CHUNK, ROWS = 3_000_000, 100_000
 #: What a word counts that no other document has.
 UNSEEN = 0.5
 _U = np.uint64
