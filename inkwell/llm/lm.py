@@ -2,14 +2,16 @@
 
 Documents are scored under the bigrams of all other documents.  Runs of whole
 documents, the chunks, are exploded into their distinct words and word pairs
-with counts, so that what is shuffled is aggregated beforehand.  These rows meet
-by their hash, where the count table is the sum of each n-gram's rows; the counts
-are joined to the exploded n-grams there and go back to the chunks, but for
-n-grams that one chunk alone has.  Each chunk's documents then take their own
-occurrences out of the counts, back off where none is left, and sum up.
-
-No group grows with the corpus: a chunk is a bounded number of words, or one
-document, and an n-gram, however common, has a row of fixed size in a chunk.
+with counts.  N-grams go to the partition of their hash, where the counts of all
+chunks are summed to that partition's count table and joined to the exploded
+n-grams; the counts go back to the chunks.  Each chunk's documents then take
+their own occurrences out, back off where none is left, and sum up.
+
+What a chunk has for one partition travels as one row, its sorted hashes as
+compressed differences: plain rows of hash, chunk, place and count need 2.6 times
+the bytes.  No group holds an n-gram's documents: an n-gram, however common, is
+one number in each chunk, a chunk is a bounded number of words, or one document,
+and there are as many partitions as the corpus has ``PARTITION_BYTES``.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._lex import GRAM, fresh, pieces, release, words
 from ._store import numbered, written
 
 ALPHA = 0.4
-#: Words of a chunk, each document counting as one more, and rows handed on at a time.
-CHUNK, ROWS = 3_000_000, 100_000
+#: Words of a chunk, each document counting as one more, and bytes of text for each
+#: partition of the count table.  A chunk's row for a partition should hold some
+#: n-grams, so that a corpus above a few TB wants larger chunks.
+CHUNK, PARTITION_BYTES = 3_000_000, 16 << 20
 #: What a word counts that no other document has.
 UNSEEN = 0.5
 _U = np.uint64
@@ -90,23 +93,36 @@ def _pairs(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two * GRAM[32], at
 
 
-def _exploded(most: int):
-    """A row for each distinct word and pair of a chunk, in the order of hashes."""
+def _exploded(most: int, buckets: int):
+    """A row for each chunk and partition: sorted hashes of words and pairs, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, size, h in _chunks(batches, most):
-            found = [np.unique(x, return_counts=True) for x in (h, _pairs(h, size)[0])]
-            key, n = (np.concatenate(x) for x in zip(*found))
-            for i in range(0, len(key), ROWS):
-                k = key[i : i + ROWS]
-                cols = [pa.array(k.view(np.int64)), pa.array(np.full(len(k), chunk)), pa.array(np.arange(i, i + len(k), dtype=np.int32)), pa.array(n[i : i + ROWS].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "chunk", "at", "n"])
-            del found, key, n
+            key, n = (np.concatenate(x) for x in zip(*[np.unique(x, return_counts=True) for x in (h, _pairs(h, size)[0])]))
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order].astype(np.uint32)
+            bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
+            for at in range(0, len(cut), 1024):
+                part = [(i, j) for i, j in zip(cut[at : at + 1024], np.r_[cut[1:], len(key)][at : at + 1024])]
+                bodies = [_pack(np.r_[key[i : i + 1], np.diff(key[i:j])], n[i:j]) for i, j in part]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[at : at + 1024]]), pa.array(np.full(len(part), chunk)), pa.array(bodies, pa.binary())], names=["bucket", "chunk", "body"])
         release()
 
     return run
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    """One partition's count table, joined to what each chunk exploded: the counts in the order of its hashes."""
+    bodies = [_unpack(x) for x in table.column("body").to_pylist()]
+    keys = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in bodies])
+    _, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, np.concatenate([n for _, n in bodies]).astype(np.float64)).astype(np.uint64)[at]
+    ends = np.cumsum([len(k) for k, _ in bodies])
+    back = [_pack(total[j - len(k) : j]) for j, (k, _) in zip(ends, bodies)]
+    return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), pa.array(back, pa.binary())], names=["chunk", "bucket", "totals"])
+
+
 def _packed(most: int):
     """A row for each chunk: its documents' words."""
 
@@ -133,8 +149,10 @@ def _score(alpha: float):
         word = np.cumsum(word, dtype=np.uint64)
         two, second = _pairs(word[place], size)
         pair, inv = np.unique(two, return_inverse=True)
-        total = np.r_[np.bincount(place, minlength=len(word)), np.bincount(inv, minlength=len(pair))]
-        total[counts.column("at").to_numpy()] = counts.column("total").to_numpy()
+        total = np.zeros(len(word) + len(pair), np.int64)
+        back = sorted(zip(counts.column("bucket").to_pylist(), counts.column("totals").to_pylist()))
+        if back:
+            total[np.argsort(np.r_[word, pair], kind="stable")] = np.concatenate([_unpack(x)[0] for _, x in back])
         doc = np.repeat(np.arange(len(size)), size)
         one = total[: len(word)][place] - _own(doc, place.astype(np.int64))
         both = total[len(word) :][inv] - _own(doc[second], inv)
@@ -165,9 +183,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
     """
     (row,) = fresh(docs, "row")
     rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), row).select(row, "doc_id", "text")
-    grams = rows.mapInArrow(_exploded(chunk), "key long, chunk long, at int, n int")
-    by_key = W.partitionBy("key")
-    counts = grams.select("chunk", "at", F.sum("n").over(by_key).alias("total"), F.count("*").over(by_key).alias("chunks")).where("chunks > 1").select("chunk", "at", "total")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // PARTITION_BYTES))
+    grams = rows.mapInArrow(_exploded(chunk, buckets), "bucket long, chunk long, body binary")
+    counts = grams.groupBy("bucket").applyInArrow(_joined, "chunk long, bucket long, totals binary")
     texts = rows.mapInArrow(_packed(chunk), "chunk long, body binary")
     sums = written(texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_score(alpha), "doc_id long, n_words long, backed long, part double"), "sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
