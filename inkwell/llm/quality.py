@@ -1,33 +1,40 @@
 """Quality rules: character n-gram perplexity under a modified Kneser-Ney model.
 
-Spark counts the n-grams of every document per language; the model is stored in
-sorted hash arrays, and language-specific lower and upper bands over all
-documents' perplexities decide which documents are rejected.
+Spark counts the n-grams of every document per language and estimates their
+probabilities by aggregations and joins of these counts, one order after the
+other.  As every n-gram of the corpus is in the model, a document's perplexity
+is a sum over the highest order alone, which workers look up in sorted hash
+arrays.  A model of more than ``SLICE_ROWS`` n-grams is searched a slice at a
+time, each in a scan of its own, so that neither the driver nor a worker ever
+holds more.  Lower and upper bands by language and length, over all documents'
+perplexities, decide which documents are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._lex import HashArray, fresh, pieces
+from ._store import numbered, written
 
 ORDER = 5
 BITS = 7
 SYMBOLS = 1 << BITS
 #: Bands: so many robust standard deviations below and above the median.
 LOW, HIGH = 3.5, 3.5
-#: A document's perplexity is taken with so many bytes of its language's median
-#: text added, as that of a short text says little.
-PRIOR_BYTES = 400
 #: Log-perplexities are compared in steps of this size.
 STEP = 0.002
-#: Languages' models together; a corpus of this many distinct n-grams isn't text.
-MODEL_ROWS = 60_000_000
+#: N-grams of all languages that the driver and each worker hold at a time.
+SLICE_ROWS = 16_000_000
+#: Documents of like length that a language's bands are taken from, if it has so many.
+ENOUGH = 500
 #: Distinct n-grams of several pieces that a worker holds before it merges them, beside as many as are merged.
 UNMERGED = 500_000
 
@@ -150,87 +157,150 @@ class KneserNey:
         return out
 
 
-def trained(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> dict:
-    """A model per language (None: rows without a language)."""
-    counts = counted(docs, order, text, lang)
-    held = counts.toArrow()
-    if held.num_rows > MODEL_ROWS:
-        raise ValueError(f"{held.num_rows} distinct n-grams; the model holds {MODEL_ROWS}")
-    tags = held.column("lang").combine_chunks().dictionary_encode()
-    ids = tags.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    names = tags.dictionary.to_pylist()
-    code, n = (held.column(c).to_numpy() for c in ("code", "n"))
-    models = {}
-    for k in np.unique(ids):
-        mine = ids == k
-        order_ = np.argsort(code[mine])
-        models[names[k] if k >= 0 else None] = KneserNey(code[mine][order_], n[mine][order_], order)
-    return models
-
-
-def perplexity(spark: SparkSession, models: dict, order: int = ORDER):
-    """Column function (lang, text) -> log-perplexity per byte; null for empty text or an unknown language."""
-    shared = spark.sparkContext.broadcast(models)
+def _discounted(table: DataFrame) -> DataFrame:
+    """(lang, code, n) with what modified Kneser-Ney takes from each count, as ``cut``."""
+    many = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    clip = lambda x, high: F.least(F.greatest(x, F.lit(0.05)), F.lit(high))
+    third = clip(F.when(n3 > 0, 3 - 4 * y * n4 / F.nullif(n3, F.lit(0.0))).otherwise(1.5), 2.95)
+    each = table.groupBy("lang").agg(*many).select("lang", *[F.when((n1 > 0) & (n2 > 0), d).otherwise(0.5).alias(f"d{k}") for k, d in ((1, clip(1 - 2 * y * n2 / F.nullif(n1, F.lit(0.0)), 0.95)), (2, clip(2 - 3 * y * n3 / F.nullif(n2, F.lit(0.0)), 1.95)), (3, third))])
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return table.join(each, "lang").select("lang", "code", "n", cut.alias("cut"))
+
+
+def estimated(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
+    """(lang, code, p): interpolated modified Kneser-Ney probabilities of the (lang, code, n) n-grams.
+
+    As ``KneserNey`` computes them; here no machine holds all of them.
+    """
+    tables = [written(counts, "counts")]
+    for m in range(order - 1, 0, -1):  # continuation counts: distinct left neighbours
+        below = tables[-1].groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << bits * m) - 1)).alias("code")).agg(F.count("*").alias("n"))
+        tables.append(written(below, "continuations"))
+    p = None
+    for m, table in enumerate(reversed(tables), 1):
+        context = W.partitionBy("lang", F.shiftright("code", bits))
+        rows = _discounted(table).withColumns({"total": F.sum("n").over(context), "gamma": F.sum("cut").over(context) / F.sum("n").over(context)})
+        if p is None:
+            rows = rows.withColumn("rest", F.lit(1.0 / (1 << bits)))
+        else:
+            suffix = p.select("lang", F.col("code").alias("suffix"), F.col("p").alias("rest"))
+            rows = rows.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << bits * (m - 1)) - 1))).join(suffix, ["lang", "suffix"])
+        p = written(rows.select("lang", "code", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("rest")).alias("p")), "probabilities")
+    return p
+
+
+def _slices(model: DataFrame, most: int) -> Iterator[dict]:
+    """The model's hash arrays by language, a part of at most about ``most`` n-grams at a time."""
+    names = sorted(r[0] for r in model.select("lang").distinct().collect())
+    n = -(-model.count() // most)
+    if not n:
+        return
+    number = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)]), F.col("lang"))
+    rows = model.select(number.alias("k"), "code", F.log("p").cast("float").alias("logp"))
+    for at in range(n):
+        held = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("code"), F.lit(n)) == at)).toArrow()
+        k, code, logp = (held.column(c).to_numpy() for c in ("k", "code", "logp"))
+        del held
+        yield {names[i]: HashArray(code[mine], logp[mine]) for i in range(len(names)) if (mine := k == i).any()}
+
+
+def _log_likelihood(shared, order: int):
+    """Column function (lang, text) -> the sum of log-probabilities of a text's bytes that the shared slice has."""
 
     @F.arrow_udf("double")
     def score(lang: pa.Array, text: pa.Array) -> pa.Array:
         models, langs = shared.value, lang.to_pylist()
-        out = np.full(len(langs), np.nan)
+        out = np.zeros(len(langs))
         for i, j, data, offs in pieces(text):
             size = np.diff(offs)
             if not len(data):
                 continue
             code, tags = gram_codes(data, offs, order), langs[i:j]
-            lp = np.zeros(len(code), np.float32)
-            for key in set(tags):
-                if key in models:
-                    mine = np.repeat(np.fromiter((t == key for t in tags), bool, len(tags)), size)
-                    lp[mine] = models[key].logp(code[mine])
-            known = np.fromiter((t in models for t in tags), bool, len(tags)) & (size > 0)
+            lp = np.zeros(len(code))
+            for key in set(tags) & set(models):
+                mine = np.repeat(np.fromiter((t == key for t in tags), bool, len(tags)), size)
+                at = models[key].find(code if mine.all() else code[mine])
+                lp[mine] = np.where(at >= 0, models[key].values[0][at], 0)
             at = np.flatnonzero(size > 0)
-            total = np.zeros(j - i)
-            total[at] = np.add.reduceat(lp.astype(np.float64), offs[:-1][at])
-            out[i:j][known] = -total[known] / size[known]
-        return pa.array(out, from_pandas=True)
+            out[i:j][at] = np.add.reduceat(lp, offs[:-1][at])
+        return pa.array(out)
 
     return score
 
 
-def bands(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(lang, middle, floor, ceiling) from all documents' log-perplexities, exactly to ``STEP``."""
-    steps = scored.where("ppl is not null").groupBy("lang", F.round(F.col("ppl") / STEP).cast("long").alias("s")).agg(F.count("*").alias("n"))
-    rows = []
-    for key, g in steps.toPandas().groupby("lang", dropna=False):
+def _tag(lang: str):
+    """A language as text that is never null."""
+    return F.when(F.col(lang).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(lang).cast("string")))
+
+
+def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, enough: int = ENOUGH) -> DataFrame:
+    """(lang, bits, floor, ceiling) from all documents' (lang, size, ppl), exactly to ``STEP``.
+
+    ``bits`` is the length of the size in binary digits.  Perplexities of short
+    texts vary more, so that each length has bands of its own; where it has
+    fewer than ``enough`` documents, the nearest lengths on both sides count in.
+    """
+    rows = scored.where("ppl is not null").groupBy("lang", F.length(F.bin("size")).alias("bits"), F.round(F.col("ppl") / STEP).cast("long").alias("s")).agg(F.count("*").alias("n"))
+    out = []
+    for key, g in rows.toPandas().groupby("lang"):
         g = g.sort_values("s")
-        x, held = g["s"].to_numpy() * STEP, np.cumsum(g["n"].to_numpy())
-        q25, mid, q75 = (float(x[np.searchsorted(held, q * held[-1])]) for q in (0.25, 0.5, 0.75))
-        rows.append((key if isinstance(key, str) else None, mid, mid - low * max(mid - q25, STEP) / 0.6745, mid + high * max(q75 - mid, STEP) / 0.6745))
-    return scored.sparkSession.createDataFrame(rows, "lang string, middle double, floor double, ceiling double")
+        bits, s, n = (g[c].to_numpy() for c in ("bits", "s", "n"))
+        for b in sorted(set(bits.tolist())):
+            near = abs(bits - b)
+            held = next((near <= d for d in range(int(near.max()) + 1) if n[near <= d].sum() >= enough), near >= 0)
+            x, upto = s[held] * STEP, np.cumsum(n[held])
+            q25, mid, q75 = (float(x[np.searchsorted(upto, q * upto[-1])]) for q in (0.25, 0.5, 0.75))
+            out.append((key, b, mid - low * max(mid - q25, STEP) / 0.6745, mid + high * max(q75 - mid, STEP) / 0.6745))
+    return scored.sparkSession.createDataFrame(out, "lang string, bits int, floor double, ceiling double")
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, order: int = ORDER) -> DataFrame:
-    """``docs`` with ``ppl`` (log-perplexity per byte, as it is) and ``kept``.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, order: int = ORDER, most: int = SLICE_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ppl`` (log-perplexity per byte) and ``kept``.
 
     A null or empty text has a null ``ppl`` and isn't kept.  Documents without a
-    language are one language of their own.  Repeated rows are judged alike;
-    columns of ``docs`` named ``ppl`` or ``kept`` are replaced.  An empty table
-    gives an empty result.
+    language are one language of their own.  Repeated rows are judged alike, and
+    so are ties: a perplexity on a band is kept.  Columns of ``docs`` named
+    ``ppl`` or ``kept`` are replaced; ``keep`` names those to carry, without it
+    all.  A document's own n-grams are in the model.  ``most`` changes the
+    number of scans, not the result.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    score = perplexity(spark, trained(docs, order, text, lang), order)
-    tag, mid, floor, ceiling, ppl = fresh(docs, "lang", "middle", "floor", "ceiling", "ppl")
-    key = F.col(lang).cast("string")
-    cut = bands(docs.select(key.alias("lang"), score(key, F.col(text)).alias("ppl")), low, high).toDF(tag, mid, floor, ceiling)
-    n = F.octet_length(text).cast("double")
-    with_ppl = docs.withColumn(ppl, score(key, F.col(text)))
-    out = with_ppl.join(F.broadcast(cut), with_ppl[lang].cast("string").eqNullSafe(F.col(tag)), "left")
-    smooth = F.col(mid) + (F.col(ppl) - F.col(mid)) * n / (n + PRIOR_BYTES)
-    kept = F.coalesce(smooth.between(F.col(floor), F.col(ceiling)), F.lit(False))
-    drop = [c for c in docs.columns if c.lower() in ("ppl", "kept")]
-    return out.select(*[docs[c] for c in docs.columns if c not in drop], F.col(ppl).alias("ppl"), kept.alias("kept"))
-
-
-def quality_rules(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``judged`` keeps, with the columns of ``docs``."""
-    found = judged(docs.select("text", "lang", F.struct(*docs.columns).alias("row")), **options)
-    return found.where("kept").select("row.*")
+    row, tag, size, ppl, bits, floor, ceiling, part = fresh(docs, "row", "lang", "size", "ppl", "bits", "floor", "ceiling", "part")
+    counts = counted(docs.select(_tag(lang).alias("lang"), F.col(text).alias("text")), order)
+    model = estimated(counts, order)
+    carried = [c for c in docs.columns if c.lower() not in ("ppl", "kept") and (keep is None or c in keep)]
+    rows = docs.select(*[docs[c] for c in docs.columns], _tag(lang).alias(tag), F.octet_length(text).alias(size))
+    several, parts = model.count() > most, []
+    if several:
+        rows = numbered(rows, row)
+    for held in _slices(model, most):
+        shared = spark.sparkContext.broadcast(held)
+        del held
+        found = rows.withColumn(part, _log_likelihood(shared, order)(F.col(tag), F.col(text)))
+        if several:
+            parts.append(written(found.select(row, part), "parts"))
+            shared.destroy()
+    if several:
+        total = reduce(DataFrame.unionByName, parts).groupBy(row).agg(F.sum(part).alias(part))
+        found = rows.join(total, row)
+    elif model.isEmpty():
+        found = rows.withColumn(part, F.lit(0.0))
+    value = F.when(F.col(size) > 0, -F.col(part) / F.col(size))
+    scored = written(found.select(*carried, tag, size, value.alias(ppl)), "scored")
+    cut = bands(scored.select(F.col(tag).alias("lang"), F.col(size).alias("size"), F.col(ppl).alias("ppl")), low, high).toDF(tag, bits, floor, ceiling)
+    out = scored.withColumn(bits, F.length(F.bin(size))).join(F.broadcast(cut), [tag, bits], "left")  # a row for each language and power of two
+    kept = F.coalesce((F.round(F.col(ppl) / STEP) * STEP).between(F.col(floor), F.col(ceiling)), F.lit(False))
+    return out.select(*carried, F.col(ppl).alias("ppl"), kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The documents that ``judged`` keeps, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table
+    gives an empty result.
+    """
+    (row,) = fresh(docs, "whole")
+    found = judged(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.struct(*docs.columns).alias(row)), keep=[row], **options)
+    return found.where("kept").select(f"{row}.*")

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's log-perplexity and whether its language's bands keep it."""
-    return quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
+    return quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), keep=["doc_id", "lang"])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,62 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.logp((context << 7) + np.arange(128)).astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def brute_model(texts, order):
+    """Log-perplexities by interpolated modified Kneser-Ney over dictionaries of tuples."""
+    symbols = [[int(x) for x in quality.CLASS[np.frombuffer((t or "").encode(), np.uint8)]] for t in texts]
+    padded = [[0] * (order - 1) + x for x in symbols]
+    counts = {order: Counter(tuple(x[i : i + order]) for x in padded for i in range(len(x) - order + 1))}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    discounts, contexts = {}, {}
+    for m, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        discounts[m] = [min(max(d, 0.05), top) for d, top in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.95), (3 - 4 * y * n4 / n3 if n3 else 1.5, 2.95))] if n1 and n2 else [0.5] * 3
+        contexts[m] = {}
+        for g, v in c.items():
+            contexts[m].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        m = len(g)
+        if not m:
+            return 1 / 128
+        if g[:-1] not in contexts[m]:
+            return p(g[1:])
+        held, d = contexts[m][g[:-1]], discounts[m]
+        cut = lambda v: d[min(v, 3) - 1]
+        own = counts[m].get(g, 0)
+        return (own - cut(own) if own else 0) / sum(held) + sum(map(cut, held)) / sum(held) * p(g[1:])
+
+    return [-sum(np.log(p(tuple(x[i : i + order]))) for i in range(len(x) - order + 1)) / len(s) if s else None for x, s in zip(padded, symbols)]
+
+
+@pytest.mark.parametrize("most", [quality.SLICE_ROWS, 300])
+def test_perplexity_and_bands(spark, most):
+    """Perplexities by dictionaries, bands by sorting; in one slice of the model or in several."""
+    r = random.Random(15)
+    rows = [(k, r.choice(["en", "fr", None]), prose(r, r.randint(1, 12), 12)) for k in range(40)] + [(40, "en", ""), (41, None, None), (0, "en", "ééé 1 2"), (0, "en", "ééé 1 2")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = sorted(map(repr, ((x["doc_id"], x["lang"], x["ppl"] and round(x["ppl"], 4), x["kept"]) for x in quality.judged(df, low=1.0, high=1.0, most=most).collect())))
+    want = []
+    for lang in ("en", "fr", None):
+        mine = [x for x in rows if x[1] == lang]
+        ppl = brute_model([t for _, _, t in mine], quality.ORDER)
+        held = [round(x / quality.STEP) * quality.STEP for x in ppl if x is not None]  # too few for bands by length
+        q25, mid, q75 = (sorted(held)[int(np.ceil(q * len(held))) - 1] for q in (0.25, 0.5, 0.75))
+        low, high = mid - max(mid - q25, quality.STEP) / 0.6745, mid + max(q75 - mid, quality.STEP) / 0.6745
+        want += [(d, lang, x and round(float(x), 4), x is not None and low <= round(x / quality.STEP) * quality.STEP <= high) for (d, _, _), x in zip(mine, ppl)]
+    assert found == sorted(map(repr, want))
+    assert {k for *_, k in want} == {True, False}
+
+
+def test_bands_by_length(spark):
+    """A length with enough documents has its own bands, however wide the others' are."""
+    rows = [("+en", 100, 2.0 + 0.01 * k) for k in range(-50, 51)] + [("+en", 5000, 2.0 + 0.001 * k) for k in range(-50, 51)] + [("+en", 3, 9.0)]
+    held = {x["bits"]: (x["floor"], x["ceiling"]) for x in quality.bands(spark.createDataFrame(rows, "lang string, size int, ppl double"), 1.0, 1.0, 100).collect()}
+    assert held[7][0] < 1.7 < 1.95 < held[13][0] < 2.0 and set(held) == {2, 7, 13}
+
+
 def test_quality_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     r = random.Random(6)
