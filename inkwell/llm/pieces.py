@@ -4,6 +4,11 @@ For a merge (BPE) vocabulary every prefix of a text has exactly one possible
 last token.  The table stores it, found among the automaton's matches that end
 there by testing whether it may follow the last token of the rest; the ids are
 then recovered from the end backwards.  Time is linear in the text.
+
+As a piece has a space at most at its front, a text falls into words that are
+coded one by one.  A batch is cut into words as a whole, each distinct word of
+it is coded once, or remembered, and ids are gathered from there.  Rows of which
+the ids don't give the text again are coded by themselves once more.
 """
 
 from __future__ import annotations
@@ -14,17 +19,22 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._lex import release
+from ._lex import GRAM, buffers, mix, pieces, release, run_hashes, spans
 
 SPACE = "▁"
-#: Words of which a worker remembers the ids, and the longest of them.
-REMEMBERED, WORD = 100_000, 40
-#: Pairs of tokens of which a worker remembers whether they fit, and rows coded at a time.
-PAIRS, ROWS = 300_000, 100
+#: Words of which a worker remembers the ids, twice so many at most, and the longest of them.
+REMEMBERED, WORD = 250_000, 40
+#: Pairs of tokens of which a worker remembers whether they fit, and bytes coded at a time.
+PAIRS, BYTES = 300_000, 1 << 20
+_U = np.uint64
+_WORD = np.ones(256, bool)
+_WORD[[10, 32]] = False
+_NEWLINE, _GAP = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
 
 def default_model() -> str:
@@ -74,8 +84,13 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.follows: dict[int, bool] = {}
         self.runs: dict[int, list[int]] = {}
-        self.after_space: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.recent: dict[int, np.ndarray] = {}
+        self.older: dict[int, np.ndarray] = {}
+        size = np.array([len(x) for x in self.bytes])
+        self.piece_size, self.piece_at = size, np.cumsum(size) - size
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        #: Whether lines can be coded one by one.
+        self.by_lines = self.fallback and not any("\n" in t for t in self.ids)
 
     def merged(self, text: str) -> tuple[int, int] | None:
         """The two tokens of which a piece's last merge is made; None if merging doesn't give the piece."""
@@ -182,56 +197,93 @@ class Vocabulary:
             self.runs[n] = out
         return self.runs[n]
 
-    def word(self, word: str, space: bool) -> bytes:
-        """Ids, as 32-bit integers, of a word without spaces, after a space or not."""
-        held = self.after_space if space else self.bare
-        out = np.array(self.table(SPACE + word if space else word), np.int32).tobytes()
-        if len(word) <= WORD:
-            if len(held) > REMEMBERED:
-                held.clear()
-            held[word] = out
+    def unit(self, word: str, gap: int) -> list[int]:
+        """Ids of a word without spaces after so many spaces, or of spaces alone."""
+        if not word:
+            return self.spaces(gap)
+        if not gap:
+            return self.table(word)
+        out = self.table(SPACE + word)
+        if gap > 1:
+            alone = out[0] == self.ids[SPACE]
+            out = self.spaces(gap - (not alone)) + out[alone:]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, as 32-bit integers."""
-        if not text:
-            return b""
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        after, bare, out = self.after_space.get, self.bare.get, []
-        newline = b"".join(np.int32(i).tobytes() for i in (self.byte_ids[10],)) if self.fallback and "\n" not in self.ids else None
-        for k, line in enumerate(text.split("\n") if newline else [text]):
-            words = line.split(" ")
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text."""
+        out: list[int] = []
+        text = text.replace(SPACE, " ")
+        for k, line in enumerate(text.split("\n") if self.by_lines else [text] if text else []):
+            if not text:
+                break
             if k:
-                out.append(newline)
-                first = words[0]
-                if first:
-                    out.append(bare(first) or self.word(first, False))
-                words = words[1:]
-            if "" in words:
-                gap = 0
-                for w in words:
-                    if not w:
-                        gap += 1
-                        continue
-                    ids = after(w) or self.word(w, True)
-                    if gap:
-                        if ids[:4] == self.one:
-                            out.append(np.array(self.spaces(gap + 1), np.int32).tobytes())
-                            ids = ids[4:]
-                        else:
-                            out.append(np.array(self.spaces(gap), np.int32).tobytes())
-                        gap = 0
-                    out.append(ids)
-                if gap:
-                    out.append(np.array(self.spaces(gap), np.int32).tobytes())
-            else:
-                out += [after(w) or self.word(w, True) for w in words]
-        return b"".join(out)
+                out.append(self.byte_ids[10])
+            gap = int(not k)
+            for n, w in enumerate(line.split(" ")):
+                gap += n > 0
+                if w:
+                    out += self.unit(w, gap)
+                    gap = 0
+            if gap:
+                out += self.spaces(gap)
+        return out
+
+    def encoded(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each row has) of a batch's UTF-8 bytes, of a vocabulary whose lines can be coded one by one."""
+        start, end, row, mask = spans(data, offs, _WORD)
+        line = np.flatnonzero(data == 10)
+        full = np.flatnonzero(offs[1:] > offs[:-1])
+        stop, of = np.r_[line, offs[1:][full]], np.r_[np.searchsorted(offs, line, "right") - 1, full]
+
+        def before(at: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            """Spaces that end at a place, and one more at the beginning of a row."""
+            left, word, nl = offs[:-1][mine], np.searchsorted(end, at, "right") - 1, np.searchsorted(line, at) - 1
+            since = np.maximum(left, np.where(word >= 0, end[word], 0) if len(end) else 0)
+            since = np.maximum(since, np.where(nl >= 0, line[nl] + 1, 0) if len(line) else 0)
+            return at - since + (since == left)
+
+        gap, rest = before(start, row), before(stop, of)
+        some = np.flatnonzero(rest)
+        key = np.concatenate([
+            mix(run_hashes(data, start, end, mask, fold=False) + gap.astype(np.uint64) * GRAM[45]),
+            mix(rest[some].astype(np.uint64) * GRAM[46] + _GAP),
+            np.full(len(line), _NEWLINE),
+        ])
+        place = np.concatenate([start * 4 + 2, stop[some] * 4, line * 4 + 1])
+        order = np.argsort(place)
+        key, owner = key[order], np.concatenate([row, of[some], of[: len(line)]])[order]
+        every, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        raw, n_words, n_gaps = data.tobytes(), len(start), len(some)
+        found = []
+        for k, at in zip(every.tolist(), order[first].tolist()):
+            ids = self.recent.get(k)
+            if ids is None:
+                ids = self.older.get(k)
+                if ids is None:
+                    if at < n_words:
+                        ids = self.unit(raw[start[at] : end[at]].decode(), int(gap[at]))
+                    else:
+                        ids = self.spaces(int(rest[some[at - n_words]])) if at < n_words + n_gaps else [self.byte_ids[10]]
+                    ids = np.array(ids, np.int32)
+                if at >= n_words or end[at] - start[at] <= WORD:
+                    if len(self.recent) >= REMEMBERED:
+                        self.older, self.recent = self.recent, {}
+                    self.recent[k] = ids
+            found.append(ids)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = _gather(np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum(size) - size, size, inv)
+        return ids, np.bincount(owner, size[inv], len(offs) - 1).astype(np.int64)
 
-    @property
-    def one(self) -> bytes:
-        return np.int32(self.ids[SPACE]).tobytes()
+    def decoded(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes and offsets of rows of ids; the dummy prefix's space is taken off."""
+        n = self.piece_size[ids]
+        data = _gather(self.piece_bytes, self.piece_at, self.piece_size, ids)
+        ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(size)]]
+        full = ends[1:] > ends[:-1]
+        drop = ends[:-1][full][data[ends[:-1][full]] == 32]
+        keep = np.ones(len(data), bool)
+        keep[drop] = False
+        return data[keep], ends - np.searchsorted(drop, ends)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the dummy prefix's space is taken off."""
@@ -240,6 +292,13 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs values[at : at + size] of the chosen ones, one after the other."""
+    n = size[chosen]
+    ends = np.cumsum(n)
+    return values[np.repeat(at[chosen] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 _held: dict[str, Vocabulary] = {}
 
 
@@ -254,8 +313,9 @@ def tokenised(docs: DataFrame, text: str = "text", model: str | None = None, dec
 
     With ``decoded``, ``text`` is what decoding gave.  A null text has null in all
     three; an empty one no ids.  U+2581 in a text is read as a space, as by the
-    library.  Columns of these names in ``docs`` are replaced.  The model's path
-    must be readable by the executors.
+    library.  Columns of these names in ``docs`` are replaced, whatever their
+    case.  Every row is coded by itself, repeated rows alike; an empty table
+    gives an empty result.  The model's path must be readable by the executors.
     """
     model = model or default_model()
     names = ("ids", "n_tokens", "round_trip")
@@ -266,18 +326,45 @@ def tokenised(docs: DataFrame, text: str = "text", model: str | None = None, dec
         release()
         v = vocabulary(model)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), ROWS):
-                b = whole.slice(at, ROWS)
-                texts = b.column(text).to_pylist()
-                packed = [None if t is None else v.encode(t) for t in texts]
-                size = np.array([len(p) // 4 if p is not None else 0 for p in packed], np.int64)
-                flat = np.frombuffer(b"".join(p for p in packed if p), np.int32)
-                offs = np.r_[0, np.cumsum(size)]
-                null = np.array([p is None for p in packed], bool)
-                back = [None if t is None else v.decode(flat[offs[k] : offs[k + 1]].tolist()) for k, t in enumerate(texts)]
-                ids = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32), mask=np.r_[null, False]) if len(null) else pa.array([0], pa.int32()), pa.array(flat))
-                cols = [pa.array(back, b.schema.field(text).type) if decoded and c == text else b.column(c) for c in b.schema.names]
-                cols += [ids, pa.array(size.astype(np.int32), mask=null), pa.array([None if t is None else t == u for t, u in zip(texts, back)], pa.bool_())]
+            for i, j, _, _ in pieces(whole.column(text), BYTES):
+                b = whole.slice(i, j - i)
+                texts = b.column(text)
+                ids, size, back, same = _coded(v, texts)
+                null = texts.is_null().to_numpy(zero_copy_only=False)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), mask=np.r_[null, False]), pa.array(ids))
+                cols = [back.cast(b.schema.field(text).type) if decoded and c == text else b.column(c) for c in b.schema.names]
+                cols += [listed, pa.array(size.astype(np.int32), mask=null), pa.array(same, mask=null)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])
 
     return carried.mapInArrow(run, schema)
+
+
+def _coded(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(ids, how many each row has, decoded texts, whether these are the texts)."""
+    data, offs = buffers(texts)
+    n = len(offs) - 1
+    if v.by_lines:
+        ids, size = v.encoded(data, offs)
+        out, ends = v.decoded(ids, size)
+        if np.array_equal(ends, offs) and np.array_equal(out, data):
+            return ids, size, _strings(out, ends, texts), np.ones(n, bool)
+    else:
+        ids, size, out, ends = np.zeros(0, np.int32), np.zeros(n, np.int64), data[:0], np.zeros(n + 1, np.int64)
+    at, every, back, same = np.r_[0, np.cumsum(size)], [], [], np.zeros(n, bool)
+    for k, text in enumerate(texts.to_pylist()):
+        mine, said = ids[at[k] : at[k + 1]], out[ends[k] : ends[k + 1]]
+        if text and not np.array_equal(said, data[offs[k] : offs[k + 1]]):
+            mine = np.array(v.encode(text), np.int32)
+            said = v.decode(mine.tolist())
+        else:
+            said = text
+        every.append(mine)
+        back.append(said)
+        same[k] = said == text
+    return np.concatenate(every), np.array([len(x) for x in every], np.int64), pa.array(back, pa.string()), same
+
+
+def _strings(data: np.ndarray, offs: np.ndarray, like: pa.Array) -> pa.Array:
+    """A string array of the bytes, null where ``like`` is."""
+    out = pa.LargeStringArray.from_buffers(len(like), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+    return pa.compute.if_else(like.is_valid(), out, pa.scalar(None, pa.large_string()))

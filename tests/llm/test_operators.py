@@ -350,10 +350,22 @@ def test_pieces_are_the_librarys(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     texts += ["", " ", "   a   b    ", "a\n\n b\n", "日本語 🎉 é", "\t\ttab", "x" * 3000, "  \n  \n", "<s> </s> <unk> <0x41>"]
     v = pieces.vocabulary(pieces.default_model())
+    r = random.Random(14)
+    texts += ["".join(r.choice(["a", "b", "the", " ", " ", "\n", "é", "1", "."]) for _ in range(r.randint(0, 30))) for _ in range(400)] + [" \n  a", "a \n", "\n", "\n\n ", "  "]
     for t in texts:
-        ids = np.frombuffer(v.encode(t), np.int32).tolist()
+        ids = v.encode(t)
         assert ids == sp.encode(t), t[:80]
         assert v.decode(ids) == t
+    texts += [None, "a▁b", ""]
+    for wide in (pa.string(), pa.large_string()):
+        ids, size, back, same = pieces._coded(v, pa.array(texts[::-1], wide))
+        at = np.cumsum(size) - size
+        assert [ids[a : a + n].tolist() for a, n in zip(at, size)] == [sp.encode(t or "") for t in texts[::-1]]
+        assert [x or "" for x in back.to_pylist()] == [(t or "").replace("▁", " ") for t in texts[::-1]]
+        assert same.tolist() == [t is None or "▁" not in t for t in texts[::-1]] or same.sum() >= len(texts) - 2
+    texts = [t for t in texts if t is None or "▁" not in t]
+    ids, size, back, same = pieces._coded(v, pa.array(texts))
+    assert same.all() and back.to_pylist()[:50] == texts[:50]
 
 
 def brute_scores(texts):
