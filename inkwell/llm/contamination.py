@@ -1,16 +1,18 @@
 """Benchmark decontamination: MinHash containment search partitioned by size.
 
 Every test item keeps the smallest hashes of its shingles as a MinHash sketch.
-Items are partitioned by the size of their shingle set; each partition has the
-sketch size and the least number of sketch hashes a document must hold so that
-containment at the threshold is missed with a probability under ``MISS``, and
-the least document size that can reach the threshold.  Documents probe the
+Items are partitioned by the size of their shingle set, by powers of two; each
+partition has its sketch size.  From it and an item's own size come the least
+number of sketch hashes that a document must hold, so that containment at the
+threshold is missed with a probability under ``MISS`` whatever the size and
+whichever other items there are, and the least document size.  Documents probe the
 sketches once, whatever their length; candidates are verified by exact shingle
 containment from the same scan, so no document is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import comb
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._lex import HashArray, grams, pieces, words
+from ._store import written
 
 SHINGLE = 5
 THRESHOLD = 0.5
@@ -29,6 +32,7 @@ MISS = 1e-3
 ITEM_BYTES = 64 << 20
 
 
+@functools.cache
 def _hits_needed(size: int, sketch: int, threshold: float) -> int:
     """Most hits to ask for: fewer have probability under MISS at the threshold (hypergeometric)."""
     shared = int(np.ceil(threshold * size - 1e-9))
@@ -60,15 +64,11 @@ class Items:
         self.needed = np.ones(self.count, np.int64)
         self.tables = {}
         for m, found in sets.items():
-            part: dict[int, tuple[int, int]] = {}
             sketch = []
             for i, g in found:
                 self.sizes[i] = len(g)
-                low = 1 << int(len(g)).bit_length() - 1  # the partition's lower bound
-                if low not in part:
-                    s = min(minima, low)
-                    part[low] = (s, min(_hits_needed(x, s, threshold) for x in {low, 2 * low - 1, len(g)}))
-                s, self.needed[i] = part[low][0], part[low][1]
+                s = min(minima, 1 << int(len(g)).bit_length() - 1)  # of a partition the same: its least size
+                self.needed[i] = _hits_needed(len(g), s, threshold)
                 sketch.append((i, g[:s]))  # sorted, so these are the minima
             self.tables[m] = (self._table(sketch), self._table(found))
 
@@ -119,13 +119,13 @@ class Items:
         return key[order] // max(1, self.count), key[order] % max(1, self.count), shared[order]
 
 
-def _slices(items: DataFrame, item_id: str, text: str) -> list[pa.Table]:
-    """The items in pieces of at most about ITEM_BYTES, each to be held by every worker."""
+def _slices(items: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[pa.Table]]:
+    """The items in pieces of at most about ITEM_BYTES, each to be held by every worker, and how many."""
     rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // ITEM_BYTES) or 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [rows.where(part == k).toArrow() for k in range(n)]
+    return n, (rows.where(part == k).toArrow() for k in range(n))
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,7 +137,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     either table, each give their own pairs.  An empty table gives no pairs.
     """
     spark, found = docs.sparkSession, None
-    for table in _slices(items, item_id, item_text):
+    several, tables = _slices(items, item_id, item_text)
+    for table in tables:
         shared = spark.sparkContext.broadcast((Items(table.column("text").combine_chunks(), n, MINIMA, threshold), table.column("item").to_numpy(zero_copy_only=False) if not table.column("item").null_count else np.array(table.column("item").to_pylist(), object)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -149,15 +150,26 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + i)), pa.array(ids[item], pa.int64()), pa.array(count), pa.array(count / index.sizes[item])], names=["doc_id", "item_id", "shared", "containment"])
 
         part = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, item_id long, shared long, containment double")
+        if several > 1:  # no more than one slice is held at a time
+            part = written(part, "contained")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item (see ``contained``), with the columns of ``docs``."""
-    for table in _slices(items, item_id, item_text):
-        index = Items(table.column("text").combine_chunks(), n, MINIMA, threshold)
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
+    """The documents that hold no test item (see ``contained``), with the columns of ``docs``.
+
+    Documents with null, empty and wordless texts stay, and so do all without any
+    item; repeated rows stay or go together; an empty table gives an empty result.
+    """
+    several, tables = _slices(items, item_id, item_text)
+    for table in tables:
+        shared = docs.sparkSession.sparkContext.broadcast(Items(table.column("text").combine_chunks(), n, MINIMA, threshold))
+        docs = docs.where(_clean(shared)(F.col(text)))
+        if several > 1:
+            docs = written(docs, "clean")
+            shared.destroy()
     return docs
 
 
