@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1.  A trigram's vector binds its
 letters' vectors, permuted by their place, by multiplication; a text's vector
 bundles its trigrams' by addition.  A language's prototype bundles all its
-documents; a document has the language of the prototype of largest cosine.
+documents; a document has the language of the prototype of largest cosine,
+where its own vector is taken out of the prototype that it was bundled into.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def bound(codes: np.ndarray) -> np.ndarray:
 
 
 def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes' directions, from all documents that have a language."""
+    """Languages and their prototypes, from all documents that have a language."""
     held = counted(docs.where(F.col(lang).isNotNull()), ORDER, text, lang, LETTERS).toPandas()
     names = sorted(held["lang"].unique())
     out = np.zeros((len(names), DIMENSIONS))
@@ -46,12 +47,14 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
         code, n = mine["code"].to_numpy(), mine["n"].to_numpy(np.float64)
         for i in range(0, len(code), 4096):
             out[k] += n[i : i + 4096] @ bound(code[i : i + 4096])
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return names, out / np.where(size, size, 1)
+    return names, out
 
 
-def cosines(data: np.ndarray, offs: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """[row, language] cosines of texts with prototypes; 0 for an empty text."""
+def cosines(data: np.ndarray, offs: np.ndarray, prototypes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """[row, language] cosines of texts with prototypes; 0 for an empty text.
+
+    ``own``: the language of which the prototype has the text in it, or -1.
+    """
     n = len(offs) - 1
     code = gram_codes(data, offs, ORDER, LETTERS)
     row = np.repeat(np.arange(n), np.diff(offs))
@@ -59,7 +62,7 @@ def cosines(data: np.ndarray, offs: np.ndarray, directions: np.ndarray) -> np.nd
     codes = np.flatnonzero(seen)
     column = np.zeros(len(seen), np.int64)
     column[codes] = np.arange(len(codes))
-    out = np.zeros((n, len(directions)))
+    out, length = np.zeros((n, len(prototypes))), (prototypes**2).sum(1)
     if not len(codes):
         return out
     vectors, place = bound(codes), row * len(codes) + column[code]
@@ -68,17 +71,25 @@ def cosines(data: np.ndarray, offs: np.ndarray, directions: np.ndarray) -> np.nd
         j = min(n, i + step)
         part = place[offs[i] : offs[j]] - i * len(codes)
         text = np.bincount(part, minlength=(j - i) * len(codes)).reshape(j - i, len(codes)).astype(np.float32) @ vectors
-        size = np.sqrt((text.astype(np.float64) ** 2).sum(1))
-        out[i:j] = (text @ directions.T.astype(np.float32)) / np.where(size, size, 1)[:, None]
+        square = (text.astype(np.float64) ** 2).sum(1)
+        dot, norm = text.astype(np.float64) @ prototypes.T, np.repeat(length[None], j - i, 0)
+        mine = np.flatnonzero(own[i:j] >= 0)
+        at = own[i:j][mine]
+        norm[mine, at] -= 2 * dot[mine, at] - square[mine]
+        dot[mine, at] -= square[mine]
+        size = np.sqrt(np.maximum(norm, 0) * square[:, None])
+        out[i:j] = np.where(size > 0, dot / np.where(size > 0, size, 1), 0)
     return out
 
 
 def _classify(shared):
-    def run(text: pa.Array) -> pa.Array:
-        names, directions = shared.value
+    def run(text: pa.Array, lang: pa.Array) -> pa.Array:
+        names, bundles = shared.value
+        place = {name: k for k, name in enumerate(names)}
+        own = np.array([place.get(x, -1) for x in lang.to_pylist()], np.int64)
         found, best, margin = [None] * len(text), np.full(len(text), np.nan), np.full(len(text), np.nan)
         for i, j, data, offs in pieces(text):
-            c = np.round(cosines(data, offs, directions), 5)
+            c = np.round(cosines(data, offs, bundles, own[i:j]), 5)
             if not len(names):
                 continue
             top = c.argmax(1)
@@ -96,12 +107,13 @@ def identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     """``docs`` with ``predicted``, ``cosine`` and ``margin`` to the second language.
 
     Prototypes come from all rows whose ``lang`` isn't null; all rows are
-    classified.  Null and empty texts have null in all three; of equal cosines
+    classified, by prototypes without themselves (repeated rows are in them for
+    each other).  Null and empty texts have null in all three; of equal cosines
     the first language by name wins.  Without any prototype, and so for an empty
     table, nothing is predicted.  Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(prototypes(docs, text, lang))
     (found,) = fresh(docs, "found")
-    out = docs.withColumn(found, _classify(shared)(F.col(text)))
+    out = docs.withColumn(found, _classify(shared)(F.col(text), F.col(lang).cast("string")))
     cols = [docs[c] for c in docs.columns if c.lower() not in ("predicted", "cosine", "margin")]
     return out.select(*cols, F.col(found)["lang"].alias("predicted"), F.col(found)["cosine"].alias("cosine"), F.col(found)["margin"].alias("margin"))
