@@ -4,8 +4,9 @@ Candidate segments of up to ``LONGEST`` tokens are scored as wholes by features
 of their text and surroundings; dynamic programming over segmentations chooses
 boundaries and types jointly.  The weights maximise the conditional likelihood,
 by forward-backward sums over all segmentations, of invented sentences.  A
-segment holds a digit or an at sign, lies in one line, and has spaces only among
-digits; so a text falls into blocks that are segmented one by one.
+segment holds a digit or an at sign, or is what a secret's name is given as in
+``password = letters``; it lies in one line, and has spaces only among digits;
+so a text falls into blocks that are segmented one by one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _HEX = re.compile(r"[0-9a-fA-F]+")
 _GROUPS = re.compile(r"\d{4}([ -]\d{4}){2,3}([ -]\d{1,4})?|\d{12,19}")
 _ID = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,4})?")
+_NAMED = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api_?key|credential)\w{0,8}[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?=\w)", re.I)
+_NAME = re.compile(r"(?:password|passwd|pwd|passphrase|secret|token|api_?key|credential)\w{0,8}[\"']?\s{0,2}([:=])\s{0,2}([\"']?)$", re.I)
 _CUE = re.compile(r"(token|key|secret|password|passwd|credential|auth)\W{0,6}$", re.I)
 
 
@@ -52,6 +55,8 @@ def features(text: str, start: int, end: int, tokens: int) -> list[float]:
     grouped, phone, ip, hexa = _GROUPS.fullmatch(s), _PHONE.fullmatch(s), _IP.fullmatch(s), _HEX.fullmatch(s)
     bare = re.sub(r"[ -]", "", s) if grouped else ""
     letters = any(c.isalpha() for c in s)
+    named = _NAME.search(text[max(0, start - 40) : start])
+    whole = not (right.isalnum() or right in "-_.@" and after.isalnum())
     email = _EMAIL.fullmatch(s)
     return [
         1.0,
@@ -73,6 +78,11 @@ def features(text: str, start: int, end: int, tokens: int) -> list[float]:
         float(bool(hexa) and len(s) in (32, 40, 64) and letters),
         float(tokens == 1 and len(s) >= 16 and letters and digits > 1),
         float(bool(_CUE.search(text[max(0, start - 24) : start]))),
+        float(bool(named)),
+        float(bool(named) and whole and len(s) >= 6 and not s.isdigit()),
+        float(bool(named) and named[1] == "="),
+        float(bool(named) and named[2] != ""),
+        float(bool(named) and named[1] == ":" and named[2] == "" and s.isalpha()),
         float(bool(_ID.fullmatch(s))),
         float(bool(_IBAN.fullmatch(s)) and letters),
         float(bool(_IBAN.fullmatch(s)) and 15 <= len(s.replace(" ", "")) <= 34 and letters and digits >= 8),
@@ -100,20 +110,25 @@ def _linked(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
     return out
 
 
+def _given(text: str) -> set[int]:
+    """Where in a line what a secret's name is given begins."""
+    return {m.end() for m in _NAMED.finditer(text)}
+
+
 def blocks(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of linked tokens that hold a digit or an at sign."""
-    linked, out, i = _linked(text, tokens), [], 0
+    """Maximal runs of linked tokens that hold a digit, an at sign or what a secret's name is given."""
+    linked, out, i, named = _linked(text, tokens), [], 0, _given(text)
     for j in range(1, len(tokens) + 1):
         if j == len(tokens) or not linked[j]:
-            if _TRIGGER.search(text, tokens[i][0], tokens[j - 1][1]):
+            if _TRIGGER.search(text, tokens[i][0], tokens[j - 1][1]) or any(tokens[i][0] <= a < tokens[j - 1][1] for a in named):
                 out.append((i, j))
             i = j
     return out
 
 
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate segments (first, last+1): linked tokens with a digit or an at sign, from a letter, digit, + or ( to a letter, digit or )."""
-    out = []
+    """Candidate segments (first, last+1): linked tokens with a digit or an at sign, or from where a secret's name is given something; from a letter, digit, + or ( to a letter, digit or )."""
+    out, named = [], _given(text)
     for first, last in blocks(text, tokens):
         has = [0]
         for a, b in tokens[first:last]:
@@ -122,7 +137,7 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
         for j in range(first + 1, last + 1):
             end = text[tokens[j - 1][1] - 1]
             if end.isalnum() or end == ")":
-                out += [(i, j) for i in range(max(first, j - LONGEST), j) if begins[i - first] and has[j - first] > has[i - first]]
+                out += [(i, j) for i in range(max(first, j - LONGEST), j) if begins[i - first] and (has[j - first] > has[i - first] or tokens[i][0] in named)]
     return out
 
 
@@ -193,6 +208,9 @@ def invented(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     host = lambda: ".".join(word() + r.choice(["", digits(1)]) for _ in range(r.randint(1, 2))) + "." + r.choice(["com", "org", "net", "de", "io"])
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
+    letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(r.randint(6, 16)))
+    name = lambda: r.choice(["password", "passwd", "pwd", "secret", "db_password", "token"])
+
     def entity(kind: str) -> str:
         if kind == "email":
             return r.choice([f"{word()}.{digits(2)}", word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}+{word()}"]) + "@" + host()
@@ -213,7 +231,7 @@ def invented(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
         return s if r.random() < 0.6 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
     def other() -> str:
-        return r.choice([digits(r.randint(1, 8)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", f"{word()}{digits(2)}", f"{digits(3)},{digits(3)}", f"{word()} @ {word()}", "@" + word(), f"({digits(4)})", f"{digits(2)}-{digits(2)}", "No. " + digits(3), f"{digits(1)}/{digits(1)}"])
+        return r.choice([digits(r.randint(1, 8)), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", f"{word()}{digits(2)}", f"{digits(3)},{digits(3)}", f"{word()} @ {word()}", "@" + word(), f"({digits(4)})", f"{digits(2)}-{digits(2)}", "No. " + digits(3), f"{digits(1)}/{digits(1)}", f"{name()}: {word()} {word()}", f"the {name()} of {word()}", f"{name()} = {digits(2)}", f"{name()}: {word()}"])
 
     out = []
     for _ in range(n):
@@ -225,6 +243,9 @@ def invented(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
                 s = entity(KINDS[k])
                 if KINDS[k] == "secret" and r.random() < 0.7:
                     text += r.choice(['token = "', "key: ", 'secret="', "api_key = "])
+                if KINDS[k] == "secret" and r.random() < 0.3:
+                    s = letters() + r.choice(["", "", "-" + letters(), digits(2)])
+                    text += name() + r.choice([" = ", "=", ' = "', '="', ': "', "='"])
                 gold.append((len(text), len(text) + len(s), k))
                 text += s + r.choice(["", "", ".", ",", '"', "###", "!!", "%%%", "$$$", ")"])
             else:
@@ -262,10 +283,10 @@ def trained(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED)
 def entities(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, type) of a text's entities."""
     out, at = [], 0
-    if not _TRIGGER.search(text):
+    if not (_TRIGGER.search(text) or _NAMED.search(text)):
         return out
     for line in text.split("\n"):
-        if _TRIGGER.search(line):
+        if _TRIGGER.search(line) or _NAMED.search(line):
             tokens = [m.span() for m in _TOKEN.finditer(line)]
             for i, j in blocks(line, tokens):  # no segment crosses a block's ends
                 part = tokens[i:j]
