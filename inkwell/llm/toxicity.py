@@ -19,17 +19,23 @@ from ._store import written
 from .language import LETTERS
 from .quality import KneserNey, counted, gram_codes
 
-#: Labelled documents of each class, as many of the one as of the other, from which
-#: the models are fitted, at most.
+#: Labelled documents of each class, of which the models are fitted, at most.
 SAMPLE = 5000
-ORDER, SHARED = 6, 3
+#: Recall counts so many times as much as precision where the margin is chosen.
+BETA = 2.0
+#: By cross-validation on labelled documents: longer n-grams of so few documents are noise.
+ORDER, SHARED = 4, 3
+
+
+def labelled(labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id") -> DataFrame:
+    """(doc, label) of each labelled document; of one with both labels the toxic one counts."""
+    rows = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("label")).where("doc is not null and label in (0, 1)")
+    return rows.groupBy("doc").agg(F.max("label").alias("label"))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> DataFrame:
-    """(doc, text, label): the labelled documents of least hash, as many of each class, ``most`` of them at most."""
-    rows = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("label")).where("doc is not null and label in (0, 1)").dropDuplicates(["doc"])
-    have = dict(rows.groupBy("label").count().collect())
-    most, chosen = min(most, have.get(0, 0), have.get(1, 0)), None
+    """(doc, text, label): of each class the ``most`` labelled documents of least hash, or all."""
+    rows, chosen = labelled(labels, label, doc_id), None
     for c in (0, 1):
         part = rows.where(F.col("label") == c).orderBy(F.xxhash64("doc"), "doc").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
@@ -37,6 +43,20 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: st
     return texts.join(F.broadcast(chosen), "doc")
 
 
+def margin(y: np.ndarray, s: np.ndarray, weight: np.ndarray, beta: float = BETA) -> float:
+    """The score above which F-beta is best, half way to the next one below; equal scores stay together.
+
+    ``y``: 1 for toxic; ``weight``: how many documents each stands for.
+    """
+    order = np.argsort(-s, kind="stable")
+    y, s, weight = y[order], s[order], weight[order]
+    hit, found = np.cumsum(weight * y), np.cumsum(weight)
+    value = (1 + beta**2) * hit / (found + beta**2 * (weight * y).sum())
+    last = np.flatnonzero(np.r_[s[1:] != s[:-1], True])
+    k = int(last[value[last].argmax()])
+    return float(s[k] + s[min(k + 1, len(s) - 1)]) / 2 if k + 1 < len(s) else float(np.nextafter(s[k], -np.inf))
+
+
 class Models:
     """Log-likelihood ratios under the models of two classes."""
 
@@ -77,11 +97,11 @@ def _models(rows: DataFrame) -> Models:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Models:
-    """Models of the sample; the margin is the best by F1 on a fifth of it, scored by models of the rest.
+    """Models of the sample; the margin is the best on a fifth of it, scored by models of the rest.
 
-    For F1 an ordinary document counts as often as it stands for others in ``labels``.
+    There a document of either class counts as often as it stands for others in ``labels``.
     """
-    have = dict(labels.select(F.col(label).cast("int").alias("label")).groupBy("label").count().collect())
+    have = dict(labelled(labels, label, doc_id).groupBy("label").count().collect())
     held = written(sampled(docs, labels, label, doc_id, text, most), "labelled")
     apart = F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(5)) == 0
     trial = _models(held.where(~apart))
@@ -90,13 +110,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     test = held.where(apart).select("label", _score(shared)(F.col("text")).alias("s")).where("s is not null").toPandas()
     shared.destroy()
     out = _models(held)
-    test = test.sort_values("s", ascending=False)
     y, s = test["label"].to_numpy(), test["s"].to_numpy()
     if y.sum():
-        weight = np.where(y == 1, 1.0, have[0] / have[1])
-        f1 = 2 * np.cumsum(y) / (np.cumsum(weight) + y.sum())
-        k = int(f1.argmax())
-        out.threshold = float(s[k] + s[min(k + 1, len(s) - 1)]) / 2
+        weight = np.where(y == 1, have.get(1, 0) / min(most, max(1, have.get(1, 0))), have.get(0, 0) / min(most, max(1, have.get(0, 0))))
+        out.threshold = margin(y, s, weight)
     return out
 
 
@@ -113,9 +130,10 @@ def _score(shared):
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> DataFrame:
     """``docs`` with ``toxic_score`` (log-ratio per letter) and ``toxic``.
 
-    The models are fitted from as many labelled documents of each class as the
-    rarer one has, ``most`` at most; repeated labels count once; every document is scored.  Null
-    and empty texts have a null score and aren't toxic; nor is anything, without
+    The models are fitted from all labelled documents of each class, ``most`` at
+    most; repeated labels count once, and of two the toxic one; every document
+    is scored, repeated rows and ties alike.  An empty table gives an empty
+    result.  Null and empty texts have a null score and aren't toxic; nor is anything, without
     labels of both classes.  Columns of these names in ``docs`` are replaced.
     """
     models = fitted(docs, labels, label, doc_id, text, most)

@@ -145,8 +145,65 @@ def test_toxicity_held_out(spark):
     judged = toxicity.judged(docs.select("doc_id", "text"), labels.where("pmod(xxhash64(doc_id), 4) != 0")).select("doc_id", toxicity.F.col("toxic").alias("found"))
     t = test.join(judged, "doc_id").toPandas()
     hit = (t["found"] & (t["toxic"] == 1)).sum()
-    # as measured: 77 of 99 toxic documents, among 249 found; the README has this as open
-    assert hit >= 0.7 * (t["toxic"] == 1).sum() and hit >= 0.25 * t["found"].sum()
+    # as measured: 56 of 99 toxic documents, among 71 found; many of the others hold no word that the rest hasn't
+    f1 = 2 * hit / (t["found"].sum() + (t["toxic"] == 1).sum())
+    assert f1 >= 0.6 and hit >= 0.5 * (t["toxic"] == 1).sum() and (t["found"] & (t["toxic"] == 0)).sum() <= 0.04 * (t["toxic"] == 0).sum()
+
+
+def test_toxicity_margin():
+    """The margin is the best by F-beta among all cuts between different scores."""
+    r = np.random.default_rng(16)
+    for _ in range(50):
+        n = int(r.integers(2, 12))
+        y, s, w = r.integers(0, 2, n), np.round(r.normal(size=n), 1), r.integers(1, 4, n).astype(float)
+        if not y.sum():
+            continue
+        value = lambda cut: 5 * (w * y)[s > cut].sum() / (w[s > cut].sum() + 4 * (w * y).sum())
+        every = [value(c) for c in np.r_[s, s.min() - 1]]
+        assert value(toxicity.margin(y, s, w)) == pytest.approx(max(every))
+
+
+def test_toxicity_by_dictionaries(spark):
+    """Scores of class models with shared lower orders, against the same by dictionaries."""
+    from inkwell.llm.language import LETTERS
+
+    r = random.Random(17)
+    rows = [(k, prose(r, r.randint(2, 8), 6) + (" vile" if k % 2 else " kind")) for k in range(24)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    found = {x["doc_id"]: x["toxic_score"] for x in toxicity.judged(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    models = [brute_kneser_ney([[int(x) for x in LETTERS[np.frombuffer(t.encode(), np.uint8)]] for k, t in rows if k % 2 == c], [[int(x) for x in LETTERS[np.frombuffer(t.encode(), np.uint8)]] for _, t in rows]) for c in (0, 1)]
+    for k, t in rows:
+        x = [0] * (toxicity.ORDER - 1) + [int(v) for v in LETTERS[np.frombuffer(t.encode(), np.uint8)]]
+        g = [tuple(x[i : i + toxicity.ORDER]) for i in range(len(x) - toxicity.ORDER + 1)]
+        want = sum(np.log(models[1](q)) - np.log(models[0](q)) for q in g) / len(g)
+        assert found[k] == pytest.approx(want, abs=2e-4)
+
+
+def test_language_against_vectors(spark):
+    """Cosines of explicit vectors; the document's own share is taken out of its language's prototype."""
+    r = random.Random(18)
+    rows = [(k, r.choice(["en", "fr"]), prose(r, r.randint(1, 9), 9) if k % 3 else "où été " * r.randint(1, 5)) for k in range(20)] + [(20, None, "w1x"), (21, "en", ""), (22, "fr", None)]
+
+    def vector(t):
+        s = [0, 0] + [int(x) for x in language.LETTERS[np.frombuffer(t.encode(), np.uint8)]]
+        out = np.zeros(language.DIMENSIONS)
+        for i in range(len(s) - 2):
+            out += np.roll(language._VECTORS[s[i]], 2) * np.roll(language._VECTORS[s[i + 1]], 1) * language._VECTORS[s[i + 2]]
+        return out
+
+    every = {k: vector(t or "") for k, _, t in rows}
+    found = {x["doc_id"]: x for x in language.identified(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    for k, lang, t in rows:
+        if not t:
+            assert found[k]["predicted"] is None and found[k]["cosine"] is None
+            continue
+        cos = {}
+        for name in ("en", "fr"):
+            p = sum(every[j] for j, other, _ in rows if other == name and j != k)
+            cos[name] = round(float(p @ every[k] / np.linalg.norm(p) / np.linalg.norm(every[k])), 4)
+        best = max(sorted(cos), key=lambda n: cos[n])
+        assert found[k]["cosine"] == pytest.approx(cos[best], abs=2e-4)
+        assert found[k]["predicted"] == best or abs(cos["en"] - cos["fr"]) < 3e-4
 
 
 def test_language(spark):
@@ -193,13 +250,27 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.logp((context << 7) + np.arange(128)).astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
 
 
-def brute_model(texts, order):
-    """Log-perplexities by interpolated modified Kneser-Ney over dictionaries of tuples."""
-    symbols = [[int(x) for x in quality.CLASS[np.frombuffer((t or "").encode(), np.uint8)]] for t in texts]
+def tables(symbols, order):
+    """Counts of n-grams, and of their distinct left neighbours for the lower orders."""
     padded = [[0] * (order - 1) + x for x in symbols]
     counts = {order: Counter(tuple(x[i : i + order]) for x in padded for i in range(len(x) - order + 1))}
     for m in range(order - 1, 0, -1):
         counts[m] = Counter(g[1:] for g in counts[m + 1])
+    return counts
+
+
+def brute_kneser_ney(own, every):
+    """The probability of a tuple: a class's own n-grams above the lower orders of both."""
+    counts = tables(own, toxicity.ORDER)
+    both = Counter(g[-toxicity.SHARED :] for g in tables(every, toxicity.ORDER)[toxicity.ORDER].elements())
+    counts[toxicity.SHARED] = both
+    for m in range(toxicity.SHARED - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    return interpolated(counts)
+
+
+def interpolated(counts):
+    """Interpolated modified Kneser-Ney over dictionaries of tuples."""
     discounts, contexts = {}, {}
     for m, c in counts.items():
         n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
@@ -220,6 +291,13 @@ def brute_model(texts, order):
         own = counts[m].get(g, 0)
         return (own - cut(own) if own else 0) / sum(held) + sum(map(cut, held)) / sum(held) * p(g[1:])
 
+    return p
+
+
+def brute_model(texts, order):
+    """Log-perplexities of texts under the model of them all."""
+    symbols = [[int(x) for x in quality.CLASS[np.frombuffer((t or "").encode(), np.uint8)]] for t in texts]
+    p, padded = interpolated(tables(symbols, order)), [[0] * (order - 1) + x for x in symbols]
     return [-sum(np.log(p(tuple(x[i : i + order]))) for i in range(len(x) - order + 1)) / len(s) if s else None for x, s in zip(padded, symbols)]
 
 
@@ -338,9 +416,11 @@ def test_segmentation_is_the_best():
 
 def test_personal_data(spark):
     planted = {"email": "jane.doe@example.com", "phone": "(415) 555-0137", "card": "4539578763621486", "ip": "10.20.30.40", "id_number": "123-45-6789", "iban": "DE89370400440532013000"}
-    rows = [(k, f"please write to {v} about the matter of 12 apples") for k, v in enumerate(planted.values())] + [(50, "nothing here but 3 apples and 2 pears."), (51, None), (52, "")]
+    rows = [(k, f"please write to {v} about the matter of 12 apples") for k, v in enumerate(planted.values())] + [(50, "nothing here but 3 apples and 2 pears."), (51, None), (52, ""), (53, "the secret of the key is a password: ask for it"), (54, "a token of thanks, token: see below and so on")]
+    secrets = {60: "swordfishes", 61: "correcthorsebattery", 62: "deadbeef0123456789abcdef0123456789abcdef", 63: "OpenSesameNow"}
+    rows += [(60, "password = swordfishes"), (61, 'here db_password="correcthorsebattery" it is'), (62, "token: deadbeef0123456789abcdef0123456789abcdef"), (63, "first line\nsecret = 'OpenSesameNow'\nlast")]
     found = {(x["doc_id"], x["kind"], x["value"]) for x in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert found == {(k, kind, v) for k, (kind, v) in enumerate(planted.items())}
+    assert found == {(k, kind, v) for k, (kind, v) in enumerate(planted.items())} | {(k, "secret", v) for k, v in secrets.items()}
 
 
 def test_pieces_are_the_librarys(spark):
