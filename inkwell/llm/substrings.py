@@ -8,6 +8,11 @@ The first level counts no window that can't be repeated: every repeated window
 holds a repeated anchor, the smallest hash of the half-length windows in it, so
 only windows around repeated anchors are candidates.  Documents of the same
 words are taken as one, which is repeated as a whole.
+
+Windows that one batch of rows has several times are known to be repeated: of
+these one is counted along with other batches' windows, and the others spread
+over the cluster, so that a passage that a third of all documents have is no
+burden to one task.
 """
 
 from __future__ import annotations
@@ -21,10 +26,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._lex import GRAM, fresh, mix, pieces, words
-from ._store import written
+from ._store import numbered, written
 
 MIN_WORDS = 50
 _U = np.uint64
+_ROWS = "hash long, row long, at int, salt int, sure boolean"
+
+
+def _counted_once(h: np.ndarray, row: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+    """Windows with what a batch knows of them: those it has twice are ``sure``, and all but the first of them salted."""
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+    group = np.cumsum(new) - 1
+    several = (np.bincount(group) > 1)[group] if len(h) else new
+    sure, salt = np.zeros(len(h), bool), np.zeros(len(h), np.int32)
+    sure[order] = several
+    salt[order] = np.where(new, 0, 1 + np.arange(len(h)) % 65_536)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), row, pa.array(at.astype(np.int32)), pa.array(salt), pa.array(sure)], names=["hash", "row", "at", "salt", "sure"])
 
 
 def _windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +121,7 @@ def _candidates(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            hashes, rows, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j, data, offs in pieces(b.column(1)):
                 h, at = words(data, offs)
                 size = np.bincount(at, minlength=j - i)
@@ -116,7 +135,10 @@ def _candidates(n: int):
                 g, first = _windows(h, at, n)
                 mine = np.cumsum(mark)[first] > 0
                 first = first[mine]
-                yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), b.column(0).slice(i, j - i).take(pa.array(at[first])), pa.array((first - starts[at[first]]).astype(np.int32))], names=["hash", "row", "at"])
+                hashes.append(g[mine])
+                rows.append(at[first] + i)
+                ats.append(first - starts[at[first]])
+            yield _counted_once(np.concatenate(hashes), b.column(0).take(pa.array(np.concatenate(rows))), np.concatenate(ats))
 
     return run
 
@@ -136,7 +158,7 @@ def _doubled(length: int):
             ok = np.flatnonzero(other < len(key))
             ok = ok[key[other[ok]] == key[ok] + length]
             new = mix(h[ok] * GRAM[34] + h[other[ok]])
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), b.column(0).take(pa.array(row[ok])), pa.array(at[ok].astype(np.int32))], names=["hash", "row", "at"])
+            yield _counted_once(new, b.column(0).take(pa.array(row[ok])), at[ok])
 
     return run
 
@@ -171,19 +193,20 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     A passage is a maximal run of words covered by windows of ``min_words`` words
     that occur at least twice in the corpus, in one document or in several,
     whatever the case and punctuation.  ``longest`` is the length, ``min_words``
-    times a power of two, of the longest window of it that occurs twice; in a
-    document of which the words occur again as a whole, the number of its words.
-    Null and empty texts and those of fewer words have no passages.  Repeated
-    rows have their passages each.  An empty table gives an empty result.
+    times a power of two, of the longest window of it that occurs twice.  Null
+    and empty texts and those of fewer words have no passages.  Repeated rows
+    have their passages each.  ``doc_id`` is a number, or text that holds one.
+    An empty table gives an empty result.  Windows are compared by 64-bit hashes.
     """
     (row,) = fresh(docs, "row")
-    numbered = docs.select(F.monotonically_increasing_id().alias(row), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    read = written(numbered.mapInArrow(_anchors(min_words), "row long, doc_id long, one long, two long, n long, anchors array<long>, places array<int>"), "anchors")
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), row).select(row, "doc_id", "text")
+    read = written(rows.mapInArrow(_anchors(min_words), "row long, doc_id long, one long, two long, n long, anchors array<long>, places array<int>"), "anchors")
     same = written(read.groupBy("one", "two").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "same")
     once = read.join(same.select("row"), "row", "left_semi")
     seen = once.select("row", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(F.col("a.anchors").alias("hash"), "row", F.col("a.places").alias("at"))
-    anchors = _repeated(seen).groupBy("row").agg(F.collect_list("at").alias("places")).withColumnRenamed("row", row)
-    found = numbered.select(row, "text").join(anchors, row).mapInArrow(_candidates(min_words), "hash long, row long, at int")
+    twice = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    anchors = seen.join(twice, "hash", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places")).withColumnRenamed("row", row)
+    found = rows.select(row, "text").join(anchors, row).mapInArrow(_candidates(min_words), _ROWS)
     length, levels = min_words, None
     while True:
         alive = written(_repeated(found), "windows")
@@ -194,10 +217,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             w = W.partitionBy("row").orderBy("at")
             level = level.withColumn("before", F.lag("at").over(w)).where("before is null or before < at - 1").drop("before")
         levels = level if levels is None else levels.unionByName(level)
-        found = alive.groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("w")).mapInArrow(_doubled(length), "hash long, row long, at int")
+        found = alive.groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("w")).mapInArrow(_doubled(length), _ROWS)
         length *= 2
     whole = read.join(same.where("copies > 1").select("one", "two"), ["one", "two"], "left_semi")
-    out = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("n").alias("longest"))
+    doublings = F.length(F.bin(F.floor(F.col("n") / min_words))) - 1
+    out = whole.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), (F.lit(min_words) * F.pow(F.lit(2), doublings)).cast("long").alias("longest"))
     if levels is None:
         return out
     spans = levels.groupBy("row").agg(F.collect_list(F.struct("at", "length")).alias("w")).mapInArrow(_merged(min_words), "row long, start_word long, n_words long, longest long")
@@ -206,5 +230,6 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """Those of (hash, row, at) whose hash occurs twice: one exchange, which spills."""
-    return windows.withColumn("n", F.count("*").over(W.partitionBy("hash"))).where("n > 1").drop("n")
+    """Those that occur twice, of rows of ``_counted_once``: one exchange, which spills."""
+    n = F.count("*").over(W.partitionBy("hash", "salt"))
+    return windows.withColumn("n", n).where("n > 1 or sure").select("hash", "row", "at")
