@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._lex import fresh, grams, pieces, run_hashes, spans
-from ._store import written
+from ._store import numbered, written
 
 K = 1
 _LINE = np.ones(256, bool)
@@ -64,7 +64,7 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, removed: str | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``.
 
-    Lines are separated by a line feed and compared as they are; empty lines
+    ``doc_id`` is a number, or text that holds one.  Lines are separated by a line feed and compared as they are; empty lines
     don't count and stay.  Documents come in the order of ``doc_id`` (nulls
     last), equal ones in the order of the rows read, so of repeated rows the
     first keeps its lines.  A run may also repeat an earlier part of its own
@@ -74,17 +74,17 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     before, however short.  ``removed`` names a column for the number of deleted lines.
     """
     row, gone, key = fresh(docs, "row", "gone", "key")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    read = written(_read(numbered, row, doc_id, text, k), "lines")
+    rows = numbered(docs, row)
+    read = written(_read(rows, row, doc_id, text, k), "lines")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "row", "at")
     seen = read.select("row", "doc", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(F.col("p.prints").alias("print"), "row", "doc", F.col("p.places").alias("at"))
     first = seen.groupBy("print").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("print", "first")
     later = seen.join(first, "print").where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     lines = later.select("row", F.explode(F.sequence("at", F.col("at") + F.lit(k - 1))).alias("line"))
     cut = lines.groupBy("row").agg(F.collect_set("line").alias(gone)).withColumnRenamed("row", key)
-    out = numbered.join(cut, F.col(row) == F.col(key), "left")
+    out = rows.join(cut, F.col(row) == F.col(key), "left")
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.arrow_udf(_without, "string")(F.when(F.col(gone).isNotNull(), F.col(text)), F.col(gone)))
-    cols = [cleaned.alias(c) if c == text else docs[c] for c in docs.columns]
+    cols = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if removed:
         cols = [c for c, name in zip(cols, docs.columns) if name != removed] + [F.coalesce(F.size(gone), F.lit(0)).alias(removed)]
     return out.select(*cols)
