@@ -8,7 +8,10 @@ words, as few of their k-mers survive edits; those that a longer text can be
 alike to have both.  Documents with the same words are one node.  Nodes that
 share a sketch are joined in stars around the first of each bucket, then around
 the member that has aligned most often; then every pair of a bucket that is
-neither verified nor in one group is verified, with no limit.  A pair counts if the word edit distance, by an alignment in a widening band, is within
+neither verified nor in one group is verified, with no limit.  In buckets of over
+``SMALL`` such members only pairs that can be alike are formed: of two documents
+within the edit distance the rarest words, as many as one has edits and one
+more, have a word in common, so that none is lost.  A pair counts if the word edit distance, by an alignment in a widening band, is within
 ``1 - SIMILARITY`` of the longer document.  Groups are the components.
 """
 
@@ -19,14 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._components import components
 from ._lex import GRAM, fresh, grams, mix, pieces, release, words
-from ._store import written
+from ._store import numbered, written
 
 K, L, SKETCHES, SIMILARITY = 2, 3, 32, 0.8
 SHORT, SHORT_SKETCHES = 50, 24
+#: Members of a bucket of which all pairs are formed.
+SMALL = 100
 _U = np.uint64
 _MAX = _U(2**64 - 1)
 
@@ -117,6 +123,27 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), listed], names=["node", "words"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each document, told apart by their occurrence, and how many it has."""
+    for b in batches:
+        size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        row, word = np.repeat(np.arange(b.num_rows), size), b.column(1).flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        key = mix(word + row.astype(np.uint64) * GRAM[41])
+        order = np.argsort(key, kind="stable")
+        same, place = np.r_[False, key[order][1:] == key[order][:-1]][: len(key)], np.arange(len(key))
+        nth = np.empty(len(key), np.uint64)
+        nth[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(mix(word * GRAM[42] + nth * GRAM[43]).view(np.int64)), pa.array(size[row].astype(np.int64))], names=["node", "element", "size"])
+
+
+def _rarest(tokens: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, element): as many of each document's rarest words as it may have edits, and one more."""
+    elements = tokens.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, element long, size long")
+    often = elements.groupBy("element").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("often", "element"))
+    return elements.join(often, "element").withColumn("rank", rank).where(F.col("rank") <= F.floor((1 - similarity) * F.col("size") + 1e-9) + 1).select("node", "element")
+
+
 def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
     """Upper bounds of the edit distances; exact where they are at most ``band``."""
     p, na, nb = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -213,10 +240,11 @@ def _verify(similarity: float):
 def _verified(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     one = tokens.select(F.col("node").alias("a"), F.col("words").alias("x"))
     two = tokens.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, alike boolean"), "verified")
+    # hubs first, while rows are narrow: the wide ones meet by members, of which each has few pairs
+    return written(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, alike boolean"), "verified")
 
 
-def near_groups(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_groups(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """(row, doc, label): the group of every row of ``docs``, whose column ``row`` numbers the rows."""
     read = written(_read(docs, row, doc_id, text, similarity), "sketches")
     nodes = written(read.groupBy("one", "two").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
@@ -241,7 +269,16 @@ def near_groups(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "
         if around_hubs:
             degree = aligned.select("a").unionByName(aligned.select(F.col("b").alias("a"))).groupBy("a").count()
             x = x.join(degree, "a", "left").groupBy("bucket").agg(F.max_by(F.struct("a", "an", "al"), F.struct(F.coalesce("count", F.lit(0)), -F.col("a"))).alias("hub")).select("bucket", "hub.*")
-        unlike = x.join(y, "bucket").where((F.col("al") != F.col("bl")) & near("an", "bn"))
+        else:
+            many = left.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > small).select("bucket")
+            large = left.join(many, "bucket", "left_semi")
+            rare = _rarest(tokens, large.select("node").distinct(), similarity)
+            large = written(large.join(rare, "node").select("bucket", "node", "n", "label", "element"), "rarest")
+            few = left.join(many, "bucket", "left_anti").select("bucket", "node", "n", "label", F.lit(None).cast("long").alias("element"))
+            left = few.unionByName(large)
+            x, y = left.toDF("bucket", "a", "an", "al", "element"), left.toDF("bucket", "b", "bn", "bl", "element")
+        on = ["bucket"] if around_hubs else [x["bucket"] == y["bucket"], x["element"].eqNullSafe(y["element"])]
+        unlike = x.join(y, on).where((F.col("al") != F.col("bl")) & near("an", "bn"))
         if not around_hubs:
             unlike = unlike.where("a > b")
         rest = unlike.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -259,7 +296,8 @@ def _first(groups: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_doc_id, group_size, kept) of every row of ``docs``.
 
-    A group is named by its least ``doc_id`` (nulls last); that row is the one
+    ``doc_id`` is a number, or text that holds one.  A group is named by its least
+    ``doc_id`` (nulls last); that row is the one
     kept, of repeated rows the first read.  Rows with the same words in order
     are alike, whatever their case and punctuation.  Documents without words
     are alike if their texts are equal, a null text being an empty one; at
@@ -267,13 +305,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty result.
     """
     (row,) = fresh(docs, "row")
-    groups = written(near_groups(docs.select(doc_id, text).withColumn(row, F.monotonically_increasing_id()), row, doc_id, text, similarity), "groups")
+    groups = written(near_groups(numbered(docs.select(doc_id, text), row), row, doc_id, text, similarity), "groups")
     return groups.join(_first(groups), "label").select(F.col("doc").alias("doc_id"), F.col("first.doc").alias("group_doc_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of ``near_duplicates``, with the columns of ``docs``."""
+    """The one document of each group of ``near_duplicates`` that is kept, with the columns of ``docs``.
+
+    Nulls, empty texts, repeated rows, ties and empty tables are as there.
+    """
     (row,) = fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    kept = _first(near_groups(numbered, row, doc_id, text, similarity)).select(F.col("first.row").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    rows = numbered(docs, row)
+    kept = _first(near_groups(rows, row, doc_id, text, similarity)).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

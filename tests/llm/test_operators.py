@@ -80,8 +80,9 @@ def test_near_duplicates_around_an_original(spark):
         assert sum(found[k] == found[base[0]] for k in like) >= 0.97 * len(like) and len(like) > 120
 
 
-def test_every_pair_of_a_bucket(spark, monkeypatch):
-    """With one sketch for all, the groups are those of brute force."""
+@pytest.mark.parametrize("small", [near.SMALL, 1])
+def test_every_pair_of_a_bucket(spark, monkeypatch, small):
+    """With one sketch for all, the groups are those of brute force, by all pairs or by the rarest words."""
     read = near._read
     monkeypatch.setattr(near, "_read", lambda *a: read(*a).withColumn("sketches", near.F.array(near.F.lit(7).cast("long"))))
     r = random.Random(12)
@@ -96,8 +97,10 @@ def test_every_pair_of_a_bucket(spark, monkeypatch):
         if distance(rows[i], rows[j]) <= 4:
             old, new = sorted((label[i], label[j]))[::-1]
             label = [new if x == old else x for x in label]
-    found = near.near_duplicates(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], SCHEMA)).collect()
-    assert {x["doc_id"]: x["group_doc_id"] for x in found} == dict(enumerate(label))
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], SCHEMA).coalesce(1)
+    found = near.near_groups(docs.withColumn("row", near.F.col("doc_id")), "row", small=small).collect()
+    group = {x["doc"]: x["label"] for x in found}
+    assert all((group[i] == group[j]) == (label[i] == label[j]) for i, j in itertools.combinations(range(len(rows)), 2))
 
 
 @pytest.mark.parametrize("n", [5, 8, 10, 15, 20, 40, 50, 51, 60, 100, 200])
@@ -236,7 +239,7 @@ def test_substrings(spark):
     found = substrings.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     mine = sorted((x["doc_id"], w) for x in found for w in range(x["start_word"], x["start_word"] + x["n_words"]))
     assert mine == brute_passages(rows, substrings.MIN_WORDS)
-    assert all(x["longest"] <= x["n_words"] for x in found)
+    assert all(x["longest"] <= x["n_words"] and x["longest"] in (50, 100, 200) for x in found)
 
 
 def test_kneser_ney_sums_to_one():
