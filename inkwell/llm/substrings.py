@@ -30,19 +30,21 @@ from ._store import numbered, written
 
 MIN_WORDS = 50
 _U = np.uint64
-_ROWS = "hash long, row long, at int, salt int, sure boolean"
+_ROWS = "hash long, row long, at int, salt short"
 
 
 def _counted_once(h: np.ndarray, row: pa.Array, at: np.ndarray) -> pa.RecordBatch:
-    """Windows with what a batch knows of them: those it has twice are ``sure``, and all but the first of them salted."""
+    """Windows with what a batch knows of them: of those it has twice the first have a negative place and the others a salt."""
     order = np.argsort(h, kind="stable")
     new = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
     group = np.cumsum(new) - 1
     several = (np.bincount(group) > 1)[group] if len(h) else new
-    sure, salt = np.zeros(len(h), bool), np.zeros(len(h), np.int32)
-    sure[order] = several
-    salt[order] = np.where(new, 0, 1 + np.arange(len(h)) % 65_536)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), row, pa.array(at.astype(np.int32)), pa.array(salt), pa.array(sure)], names=["hash", "row", "at", "salt", "sure"])
+    salt = np.zeros(len(h), np.int16)
+    salt[order] = np.where(new, 0, 1 + np.arange(len(h)) % 1024)
+    at = at.astype(np.int32)
+    first = order[new & several]
+    at[first] = ~at[first]
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), row, pa.array(at), pa.array(salt)], names=["hash", "row", "at", "salt"])
 
 
 def _windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,4 +234,4 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def _repeated(windows: DataFrame) -> DataFrame:
     """Those that occur twice, of rows of ``_counted_once``: one exchange, which spills."""
     n = F.count("*").over(W.partitionBy("hash", "salt"))
-    return windows.withColumn("n", n).where("n > 1 or sure").select("hash", "row", "at")
+    return windows.withColumn("n", n).where("n > 1 or salt > 0 or at < 0").select("hash", "row", F.when(F.col("at") < 0, F.bitwise_not("at")).otherwise(F.col("at")).alias("at"))
