@@ -118,6 +118,13 @@ def _anchors(n: int):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of the rows' anchors."""
+    for b in batches:
+        owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        yield _counted_once(b.column(1).flatten().to_numpy().view(np.uint64), b.column(0).take(pa.array(owner)), b.column(2).flatten().to_numpy())
+
+
 def _candidates(n: int):
     half = n // 2
 
@@ -205,9 +212,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     read = written(rows.mapInArrow(_anchors(min_words), "row long, doc_id long, one long, two long, n long, anchors array<long>, places array<int>"), "anchors")
     same = written(read.groupBy("one", "two").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "same")
     once = read.join(same.select("row"), "row", "left_semi")
-    seen = once.select("row", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(F.col("a.anchors").alias("hash"), "row", F.col("a.places").alias("at"))
-    twice = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    anchors = seen.join(twice, "hash", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places")).withColumnRenamed("row", row)
+    anchors = _repeated(once.select("row", "anchors", "places").mapInArrow(_spread, _ROWS)).groupBy("row").agg(F.collect_list("at").alias("places")).withColumnRenamed("row", row)
     found = rows.select(row, "text").join(anchors, row).mapInArrow(_candidates(min_words), _ROWS)
     length, levels = min_words, None
     while True:
