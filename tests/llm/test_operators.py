@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkwell.llm import contamination, language, lines, lm, near, pieces, pii, quality, queries, substrings, toxicity
+from inkwell.llm import _components, contamination, language, lines, lm, near, pieces, pii, quality, queries, substrings, toxicity
 from inkwell.llm._lex import grams, run_hashes, spans, words
+from inkwell.llm._store import written
 
 from ..oracle import assert_same, connected
 
@@ -103,6 +104,34 @@ def test_every_pair_of_a_bucket(spark, monkeypatch, small):
     assert all((group[i] == group[j]) == (label[i] == label[j]) for i, j in itertools.combinations(range(len(rows)), 2))
 
 
+@pytest.mark.parametrize("one_task", [_components.ONE_TASK, 25, -1])
+def test_components(spark, monkeypatch, one_task):
+    """In one task, by stars, and by stars until the edges fit one task: the least node of brute force."""
+    monkeypatch.setattr(_components, "ONE_TASK", one_task)
+    r = random.Random(14)
+    nodes = r.sample(range(-(10**12), 10**12), 120)
+    edges = [(x, y) for x, y in zip(nodes[:40], nodes[1:41])]  # a path whose nodes are in no order
+    edges += [(nodes[50], x) for x in nodes[51:70]] + [tuple(r.sample(nodes[70:], 2)) for _ in range(25)] + [(nodes[0], nodes[0]), edges[3], edges[4][::-1]]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for x, y in edges * len(label):
+        if x != y:
+            label[x] = label[y] = min(label[x], label[y])
+    found = _components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(label) and {x["node"]: x["label"] for x in found} == label
+    assert _components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_take_few_jobs(spark):
+    """The driver keeps the plans and threads of every exchange: a path takes no job for each round of stars."""
+    edges = written(spark.createDataFrame([(x * 7919 % 1009, (x + 1) * 7919 % 1009) for x in range(1008)], "a long, b long"), "path")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        assert _components.components(edges).select("label").distinct().collect() == [(0,)]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("n", [5, 8, 10, 15, 20, 40, 50, 51, 60, 100, 200])
 def test_sketch_recall_at_the_threshold(n):
     """Pairs with as many substitutions as SIMILARITY allows share a sketch."""
