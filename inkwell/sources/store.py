@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import Analyzer
-from ..operators.index import Index
+from ..operators.index import Index, terms_of
 
 LOG = "versions"
 
@@ -62,7 +62,13 @@ def save(index: Index, folder: str | Path) -> None:
     spark = index.documents.sparkSession
     root, name = _Folder(spark, folder), f"v-{uuid.uuid4().hex}"
     before, to = _entries(root), root.at(name).toString()
-    totals = index.stats().first()
+    index.documents.write.parquet(f"{to}/documents")
+    by_term = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    by_term.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{to}/postings")
+    documents, postings = (spark.read.schema(s).parquet(f"{to}/{n}") for n, s in (("documents", schemas.DOCUMENTS), ("postings", schemas.POSTINGS)))
+    # a term's postings are together now, so that little is exchanged to count them
+    terms_of(postings).repartitionByRange(F.col("term")).sortWithinPartitions("term").write.parquet(f"{to}/terms")
+    totals = documents.agg(F.count("*").alias("num_documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens")).first()
     a = index.analyzer
     config = {
         "next_doc_id": index.next_doc_id,
@@ -70,10 +76,6 @@ def save(index: Index, folder: str | Path) -> None:
         "total_tokens": totals["total_tokens"],
         "analyzer": json.dumps({"remove_stop_words": a.remove_stop_words, "stem": a.stem, "split_camel_case": a.split_camel_case, "min_token_length": a.min_token_length, "custom_stop_words": None if a.custom_stop_words is None else sorted(a.custom_stop_words)}),
     }
-    index.documents.write.parquet(f"{to}/documents")
-    by_term = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    by_term.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{to}/postings")
-    index.terms.repartitionByRange(F.col("term")).sortWithinPartitions("term").write.parquet(f"{to}/terms")
     spark.createDataFrame([(k, str(v)) for k, v in config.items()], schemas.CONFIG).coalesce(1).write.parquet(f"{to}/config")
     number = int(before[-1].split("@")[0]) + 1 if before else 0
     if _entries(root) != before:
